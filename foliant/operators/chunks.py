@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import ids, text as T
+from foliant.functions.rows import unnest
 from foliant.params import CHUNKER_VERSION, MAX_CHUNK_CHARACTERS
 from foliant.session import union_all
 
@@ -28,7 +29,7 @@ def paragraphs(sections: DataFrame) -> DataFrame:
         F.when(T.is_code_unit(u), "CODE").otherwise("PARAGRAPH").alias("kind"),
         F.when(T.is_code_unit(u), u).otherwise(T.normalise_paragraph(u)).alias("text")))
     keys = [c for c in sections.columns if c not in ("content", "title_path")]
-    return sections.select(*keys, F.posexplode(units).alias("unit_index", "_u")).select(
+    return unnest(sections, keys, units, "_u", "unit_index").select(
         *keys, "unit_index", F.col("_u.kind").alias("kind"), F.col("_u.text").alias("text"))
 
 
@@ -63,14 +64,13 @@ def chunk_rows(sections: DataFrame, chunker: Chunker | None = None) -> DataFrame
     """
     if "chunks" not in sections.columns:
         sections = sections.withColumn("chunks", (chunker or paragraph_chunker())(F.col("content")))
-    renamed = {"title": "section_title"}
     keep = [c for c in sections.columns if c not in (
         "content", "content_hash", "chunks", "processing_fingerprint", "stable_key", "parent_id", "section_order",
         "title", "level")]
     carried = ["stable_key", "section_order"]
-    rows = sections.select(
-        *keep, *carried, F.col("title").alias(renamed["title"]), (F.size("chunks") > 1).alias("split_section"),
-        F.posexplode("chunks").alias("chunk_index", "content"))
+    rows = unnest(
+        sections, [*keep, *carried, F.col("title").alias("section_title"), (F.size("chunks") > 1).alias("split_section")],
+        F.col("chunks"), "content", "chunk_index")
     return rows.select(
         ids.chunk_id(F.col("section_id"), F.col("chunk_index")).alias("chunk_id"),
         *keep, *carried, "section_title", "chunk_index", "content",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import ids, text as T
+from foliant.functions.rows import unnest
 from foliant.functions.skew import salted_join
 from foliant.params import COMPOSER_VERSION, EMBEDDING_BATCH, EMBEDDING_DIMENSIONS
 from foliant.session import union_all
@@ -43,17 +43,21 @@ class HashEmbedder:
 
     def __init__(self, dimensions: int = EMBEDDING_DIMENSIONS):
         self.dimensions = dimensions
+        self._places: dict[str, int] = {}
 
-    @staticmethod
-    @lru_cache(maxsize=200_000)
-    def _hash(token: str) -> int:
-        return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+    def _place(self, token: str) -> int:
+        place = self._places.get(token)
+        if place is None:
+            if len(self._places) > 200_000:
+                self._places.clear()
+            place = self._places[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dimensions
+        return place
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions), dtype=np.float64)
         for row, text in zip(out, texts):
             tokens = regex.findall(r"[\p{L}\p{N}]+", text.lower()) or [text]
-            np.add.at(row, [self._hash(t) % self.dimensions for t in tokens], 1.0)
+            np.add.at(row, [self._place(t) for t in tokens], 1.0)
         return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -66,7 +70,7 @@ def ancestor_titles(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     outline = sections.groupBy("document_version_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "section_id", F.struct(F.col("parent_id").alias("parent_id"), F.col("title").alias("title"))))).alias("_m"),
         F.collect_list(F.struct("section_id", "parent_id")).alias("_s"))
-    walked = outline.select("document_version_id", "_m", F.explode("_s").alias("_s")).select(
+    walked = unnest(outline, ["document_version_id", "_m"], F.col("_s"), "_s").select(
         "document_version_id", F.col("_s.section_id").alias("section_id"), F.col("_s.parent_id").alias("_at"), "_m",
         F.array().cast("array<string>").alias("ancestors"), F.lit(None).cast("string").alias("violation"))
     for _ in range(MAX_DEPTH + 1):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.functions.rows import unnest
 from foliant.functions.skew import salted_join, top_k
 from foliant.operators.postings import term_stats
 
@@ -42,10 +43,9 @@ def parse_query(query: Column) -> Column:
 
 def lexical_terms(queries: DataFrame) -> DataFrame:
     """I4: one row per query term: (query_id, grp, atom, negated, n_terms, offset, term)."""
-    atoms = queries.select("query_id", F.explode(parse_query(F.col("query"))).alias("a"))
-    return atoms.select(
-        "query_id", F.col("a.grp").alias("grp"), F.col("a.atom").alias("atom"), F.col("a.negated").alias("negated"),
-        F.size("a.terms").alias("n_terms"), F.posexplode("a.terms").alias("offset", "term"))
+    atoms = unnest(queries, ["query_id"], parse_query(F.col("query")), "a")
+    return unnest(
+        atoms, ["query_id", "a.grp", "a.atom", "a.negated", F.size("a.terms").alias("n_terms")], F.col("a.terms"), "term", "offset")
 
 
 def lexical_matches(queries: DataFrame, postings: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -58,8 +58,8 @@ def lexical_matches(queries: DataFrame, postings: DataFrame, stats: DataFrame |
     asked = queries.select(
         F.col("query_id").cast("string").alias("query_id"), parse_query(T.strip(F.col("query"))).alias("atoms"),
         (F.col("source_ids") if "source_ids" in queries.columns else F.lit(None).cast("array<string>")).alias("source_ids"))
-    flat = asked.select("query_id", F.explode("atoms").alias("a")).select(
-        "query_id", "a.grp", "a.negated", F.explode("a.terms").alias("term"))
+    flat = unnest(
+        unnest(asked, ["query_id"], F.col("atoms"), "a"), ["query_id", "a.grp", "a.negated"], F.col("a.terms"), "term")
     used = flat.select("term").distinct()
     relevant = postings.join(used, "term", "left_semi")
     counts = (stats if stats is not None else term_stats(relevant)).join(used, "term", "left_semi")
@@ -73,9 +73,9 @@ def lexical_matches(queries: DataFrame, postings: DataFrame, stats: DataFrame |
         F.coalesce(F.size("source_ids") <= 0, F.lit(True)) | F.array_contains("source_ids", F.col("source_id"))
     ).dropDuplicates(["query_id", "chunk_id"])
 
-    probes = proposed.select("query_id", "chunk_id", F.explode("atoms").alias("a")).select(
-        "query_id", "chunk_id", "a.grp", "a.atom", "a.negated", F.size("a.terms").alias("n_terms"),
-        F.posexplode("a.terms").alias("offset", "term"))
+    probes = unnest(
+        unnest(proposed, ["query_id", "chunk_id"], F.col("atoms"), "a"),
+        ["query_id", "chunk_id", "a.grp", "a.atom", "a.negated", F.size("a.terms").alias("n_terms")], F.col("a.terms"), "term", "offset")
     # One shuffle by (query, chunk) serves both groupings below.
     located = probes.join(relevant.select("term", "chunk_id", "positions"), ["chunk_id", "term"]).repartition("query_id", "chunk_id")
     atoms = located.groupBy("query_id", "chunk_id", "grp", "atom", "negated", "n_terms").agg(

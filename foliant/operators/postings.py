@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.functions.rows import unnest
 
 
 def index_completeness(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -28,9 +29,8 @@ def build_postings(chunks: DataFrame, embeddings: DataFrame | None = None) -> Da
     marked = chunks.select(
         "chunk_id", "document_version_id", "source_id",
         T.words(F.coalesce("section_title", F.lit(""))).alias("_title"), T.words(F.col("content")).alias("_body"))
-    tokens = marked.select(
-        "chunk_id", "document_version_id", "source_id", F.size("_title").alias("_n"),
-        F.posexplode(F.concat("_title", "_body")).alias("_i", "term"))
+    tokens = unnest(
+        marked, ["chunk_id", "document_version_id", "source_id", F.size("_title").alias("_n")], F.concat("_title", "_body"), "term", "_i")
     entry = F.struct((F.col("_i") + 1).alias("pos"), F.when(F.col("_i") < F.col("_n"), "A").otherwise("B").alias("w"))
     return tokens.groupBy("term", "chunk_id", "document_version_id", "source_id").agg(
         F.sort_array(F.collect_list(entry)).alias("positions"))

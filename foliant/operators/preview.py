@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.skew import top_k
+from foliant.functions.rows import unnest
 from foliant.operators import lexical, semantic
 from foliant.operators.embeddings import Embedder
 from foliant.params import (
@@ -43,7 +44,7 @@ def sample_parts(parsed: DataFrame, m: int = PREVIEW_SAMPLES) -> DataFrame:
     """H2: the sample texts of each parsed document, cut to 1000 characters. Works inside the row, without a shuffle."""
     keys = [c for c in ("document_id", "source_id", "external_document_id") if c in parsed.columns]
     parts = parsed.select(*keys, F.flatten(F.transform("sections", lambda s: s["chunks"])).alias("_parts"))
-    picked = parts.select(*keys, "_parts", F.posexplode(sample_positions(F.size("_parts"), m)).alias("sample_index", "position"))
+    picked = unnest(parts, [*keys, "_parts"], sample_positions(F.size("_parts"), m), "position", "sample_index")
     return picked.select(*keys, "sample_index", "position", F.substring(
         F.get("_parts", F.col("position")), 1, PREVIEW_SAMPLE_CHARACTERS).alias("sample"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from foliant.functions import ids, text as T
+from foliant.functions.rows import unnest
 from foliant.params import PARSER_VERSION, Limits
 from foliant.session import union_all
 
@@ -29,7 +30,7 @@ def decode_text(df: DataFrame) -> DataFrame:
 def markdown_lines(df: DataFrame) -> DataFrame:
     """One row per line of ``text`` with its number and whether it lies in a fenced block."""
     rest = [c for c in df.columns if c not in ("text", "content")]
-    return df.select(*rest, F.posexplode(T.fence_lines(F.col("text"))).alias("line_no", "_l")).select(
+    return unnest(df, rest, T.fence_lines(F.col("text")), "_l", "line_no").select(
         *rest, "line_no", F.col("_l.line").alias("line"), F.col("_l.in_fence").alias("in_fence"))
 
 
@@ -94,7 +95,7 @@ def headings(df: DataFrame) -> DataFrame:
     """C4: one row per heading outside fences: order within the document, level, title, slug."""
     rest = [c for c in df.columns if c not in ("text", "content")]
     rows = F.arrays_zip(F.col("_levels").alias("level"), F.col("_titles").alias("title"), F.col("_slugs").alias("slug"))
-    return _heads(df).select(*rest, F.posexplode(rows).alias("_i", "_h")).select(
+    return unnest(_heads(df), rest, rows, "_h", "_i").select(
         *rest, (F.col("_i") + 1).alias("section_order"),
         F.col("_h.level").alias("level"), F.col("_h.title").alias("title"), F.col("_h.slug").alias("slug"))
 
@@ -144,9 +145,8 @@ def section_rows(parsed: DataFrame) -> DataFrame:
     version = F.col("document_version_id")
     keep = [c for c in parsed.columns if c not in ("sections", "section_count", "text", "content", "content_hash",
                                                    "format", "parse_fingerprint")]
-    rows = parsed.select(
-        *keep, F.col("parse_fingerprint").alias("processing_fingerprint"),
-        F.posexplode("sections").alias("section_order", "_s"))
+    rows = unnest(
+        parsed, [*keep, F.col("parse_fingerprint").alias("processing_fingerprint")], F.col("sections"), "_s", "section_order")
     return rows.select(
         *keep,
         ids.section_id(version, F.col("_s.stable_key")).alias("section_id"),

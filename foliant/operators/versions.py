@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import ids
+from foliant.functions.rows import unnest
 from foliant.functions.skew import number_rows
 from foliant.session import union_all
 
@@ -140,12 +141,12 @@ def version_violations(versions: DataFrame) -> DataFrame:
         "activation time does not fit status": active_at != status.isin("ACTIVE", "INACTIVE"),
     }
     found = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
-    rows = versions.select("document_id", "document_version_id", F.explode(found).alias("violation"))
+    rows = unnest(versions, ["document_id", "document_version_id"], found, "violation")
     counts = versions.groupBy("document_id").agg(
         F.sum((status == "ACTIVE").cast("int")).alias("_active"), F.sum((status == "BUILDING").cast("int")).alias("_building"))
     many = F.array_compact(F.array(
         F.when(F.col("_active") > 1, "several ACTIVE versions"), F.when(F.col("_building") > 1, "several BUILDING versions")))
-    documents = counts.select("document_id", F.lit(None).cast("string").alias("document_version_id"), F.explode(many).alias("violation"))
+    documents = unnest(counts, ["document_id", F.lit(None).cast("string").alias("document_version_id")], many, "violation")
     numbers = versions.groupBy("document_id", "version_number").agg(F.count("*").alias("n")).where("n > 1").select(
         "document_id", F.lit(None).cast("string").alias("document_version_id"), F.lit("repeated version number").alias("violation"))
     return union_all(rows, documents, numbers)
