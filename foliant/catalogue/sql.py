@@ -34,7 +34,7 @@ w1 AS (SELECT *, {version_uuid('document_id', '1')} AS version_id FROM d1),
 s1 AS (SELECT *, {uuid("'section'", 'version_id', "'root'")} AS section_id FROM w1)"""
 
 EDITED = """CASE lang
-  WHEN 'fr' THEN array_to_string(list_slice(string_split(text, chr(10)), 2, NULL), chr(10))
+  WHEN 'fr' THEN array_to_string((string_split(text, chr(10)))[2:], chr(10))
   WHEN 'de' THEN text || chr(10) || 'Added closing line.'
   WHEN 'es' THEN array_to_string(list_reverse(string_split(text, chr(10))), chr(10))
   ELSE text END"""

@@ -67,21 +67,23 @@ def ancestor_titles(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     A version has at most ``Limits.max_sections`` sections, so its outline is collected into one map and walked upwards.
     A missing parent, or a chain longer than headings allow (a cycle), is a violation.
     """
-    outline = sections.groupBy("document_version_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        "section_id", F.struct(F.col("parent_id").alias("parent_id"), F.col("title").alias("title"))))).alias("_m"),
-        F.collect_list(F.struct("section_id", "parent_id")).alias("_s"))
-    walked = unnest(outline, ["document_version_id", "_m"], F.col("_s"), "_s").select(
-        "document_version_id", F.col("_s.section_id").alias("section_id"), F.col("_s.parent_id").alias("_at"), "_m",
-        F.array().cast("array<string>").alias("ancestors"), F.lit(None).cast("string").alias("violation"))
-    for _ in range(MAX_DEPTH + 1):
-        node = F.try_element_at("_m", F.col("_at"))
+    outline = sections.groupBy("document_version_id").agg(F.collect_list(F.struct("section_id", "parent_id", "title")).alias("_s"))
+    nodes = F.map_from_entries(F.transform("_s", lambda s: F.struct(s["section_id"], F.struct(s["parent_id"], s["title"]))))
+    rows = unnest(outline.withColumn("_m", nodes), ["document_version_id", "_m"], F.col("_s"), "_s")
+
+    def up(acc: Column, _: Column) -> Column:
+        node = F.try_element_at(F.col("_m"), acc["at"])
         title = T.strip(F.coalesce(node["title"], F.lit("")))
-        walked = walked.withColumn("_node", F.when(F.col("_at").isNotNull(), node)).select(
-            "document_version_id", "section_id", "_m",
-            F.when(title != "", F.concat(F.array(title), F.col("ancestors"))).otherwise(F.col("ancestors")).alias("ancestors"),
-            F.coalesce("violation", F.when(F.col("_at").isNotNull() & F.col("_node").isNull(), "parent missing")).alias("violation"),
-            F.col("_node.parent_id").alias("_at"))
-    done = walked.withColumn("violation", F.coalesce("violation", F.when(F.col("_at").isNotNull(), "cycle"))).drop("_m", "_at")
+        return F.struct(
+            node["parent_id"].alias("at"),
+            F.when(title != "", F.concat(F.array(title), acc["titles"])).otherwise(acc["titles"]).alias("titles"),
+            (acc["missing"] | (acc["at"].isNotNull() & node.isNull())).alias("missing"))
+
+    start = F.struct(F.col("_s.parent_id").alias("at"), F.array().cast("array<string>").alias("titles"), F.lit(False).alias("missing"))
+    walked = rows.select("document_version_id", F.col("_s.section_id").alias("section_id"), F.aggregate(
+        F.sequence(F.lit(0), F.lit(MAX_DEPTH)), start, up).alias("_w"))
+    violation = F.when(F.col("_w.missing"), "parent missing").when(F.col("_w.at").isNotNull(), "cycle")
+    done = walked.select("document_version_id", "section_id", F.col("_w.titles").alias("ancestors"), violation.alias("violation"))
     resolved = done.where(F.col("violation").isNull()).drop("violation")
     return resolved, done.where(F.col("violation").isNotNull()).drop("ancestors")
 

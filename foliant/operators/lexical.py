@@ -22,23 +22,24 @@ def parse_query(query: Column) -> Column:
     """
     tokens = F.regexp_extract_all(query, F.lit(r'-?"[^"]*"?|[^\s"]+'), 0)
 
-    def is_or(all_tokens: Column, i: Column) -> Column:
-        return (
-            (F.lower(F.get(all_tokens, i)) == "or") & (i > 0) & (i < F.size(all_tokens) - 1)
-            & (F.lower(F.get(all_tokens, i - 1)) != "or"))
-
-    def atoms(all_tokens: Column) -> Column:
-        flags = F.transform(all_tokens, lambda _, i: is_or(all_tokens, i).cast("int"))
-        parsed = F.transform(all_tokens, lambda t, i: F.struct(
-            F.aggregate(F.slice(flags, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b).alias("grp"),
-            i.alias("atom"),
+    def flags(ts: Column) -> Column:
+        """1 where a token is the operator ``or``: between two tokens, and not right after another ``or``."""
+        lower = F.transform(ts, F.lower)
+        return F.transform(lower, lambda t, i: ((t == "or") & (i > 0) & (i < F.size(lower) - 1) & (F.get(lower, i - 1) != "or")).cast("int"))
+
+    def atoms(both: Column) -> Column:
+        parsed = F.transform(both["ts"], lambda t, i: F.struct(
+            F.size(F.filter(F.slice(both["ors"], F.lit(1), i + 1), lambda o: o == 1)).alias("grp"),
             t.startswith("-").alias("negated"),
-            F.when(is_or(all_tokens, i), F.array().cast("array<string>")).otherwise(T.words(t)).alias("terms"),
+            F.when(F.get(both["ors"], i) == 1, F.array().cast("array<string>")).otherwise(T.words(t)).alias("terms"),
         ))
-        return F.filter(parsed, lambda a: F.size(a["terms"]) > 0)
+        return F.array_distinct(F.filter(parsed, lambda a: F.size(a["terms"]) > 0))
 
-    # A one-element transform binds the token array.
-    return F.flatten(F.transform(F.array(tokens), atoms))
+    # One-element transforms bind a value that is used several times; array_distinct drops repeated words.
+    bound = F.transform(F.array(tokens), lambda ts: F.struct(ts.alias("ts"), flags(ts).alias("ors")))
+    numbered = F.flatten(F.transform(bound, atoms))
+    return F.transform(numbered, lambda a, i: F.struct(
+        a["grp"].alias("grp"), i.alias("atom"), a["negated"].alias("negated"), a["terms"].alias("terms")))
 
 
 def lexical_terms(queries: DataFrame) -> DataFrame:
@@ -82,70 +83,85 @@ def lexical_matches(queries: DataFrame, postings: DataFrame, stats: DataFrame |
         F.collect_list(F.struct("offset", "positions")).alias("parts"))
     shifted = F.transform("parts", lambda p: F.transform(p["positions"], lambda e: e["pos"] - p["offset"]))
     together = F.aggregate(shifted, F.get(shifted, F.lit(0)), lambda a, b: F.array_intersect(a, b))
-    complete = F.size("parts") == F.col("n_terms")
-    placed = atoms.select(
-        "query_id", "chunk_id", F.struct(
-            "grp", "atom", "negated", "n_terms",
-            F.when(complete, together).otherwise(F.array().cast("array<int>")).alias("starts"),
-            F.flatten("parts.positions").alias("entries")).alias("a"))
+    starts = F.when(F.size("parts") < F.col("n_terms"), F.array().cast("array<int>")).when(
+        F.col("n_terms") == 1, F.get(shifted, F.lit(0))).otherwise(together)
+    # A position and its weight class in one number, so that sets and sorting stay on plain integers.
+    coded = F.transform(F.flatten("parts.positions"), lambda e: e["pos"] * 2 + (e["w"] == "A").cast("int"))
+    placed = atoms.select("query_id", "chunk_id", F.struct(
+        "grp", "atom", "negated", "n_terms", starts.alias("starts"), coded.alias("codes")).alias("a"))
     found = placed.groupBy("query_id", "chunk_id").agg(F.collect_list("a").alias("found"))
-    needed = asked.select("query_id", F.filter("atoms", lambda a: ~a["negated"]).alias("_needed"))
+    needed = asked.select("query_id", F.filter("atoms", lambda a: ~a["negated"])["grp"].alias("_needed"))
     return _rank(found.join(needed, "query_id"))
 
 
 def _rank(found: DataFrame) -> DataFrame:
     """Keep the (query, chunk) rows in which an alternative holds, and score them."""
     present = F.filter("found", lambda a: F.size(a["starts"]) > 0)
+    positive = F.filter("_present", lambda a: ~a["negated"])
 
     def holds(grp: Column) -> Column:
-        positive = F.size(F.filter("_present", lambda a: (a["grp"] == grp) & ~a["negated"]))
-        wanted = F.size(F.filter("_needed", lambda a: a["grp"] == grp))
+        have = F.size(F.filter(F.col("_positive.grp"), lambda g: g == grp))
+        wanted = F.size(F.filter("_needed", lambda g: g == grp))
         barred = F.exists("_present", lambda a: (a["grp"] == grp) & a["negated"])
-        return (positive == wanted) & (wanted > 0) & ~barred
+        return (have == wanted) & ~barred
 
     matched = (
         found.withColumn("_present", present)
-        .withColumn("_live", F.filter(F.array_distinct("_present.grp"), holds))
+        .withColumn("_positive", positive)
+        .withColumn("_live", F.filter(F.array_distinct(F.col("_positive.grp")), holds))
         .where(F.size("_live") > 0)
-        .withColumn("_entries", F.array_sort(F.array_distinct(F.flatten("found.entries"))))
-        .withColumn("_groups", F.transform("_live", lambda g: F.filter(
-            "_present", lambda a: (a["grp"] == g) & ~a["negated"])))
+        .withColumn("_codes", F.sort_array(F.array_distinct(F.flatten("found.codes"))))
+        .withColumn("_groups", F.transform("_live", lambda g: F.filter("_positive", lambda a: a["grp"] == g)))
     )
-    density = cover_density(F.col("_entries"), F.col("_groups"))
+    density = cover_density(F.col("_codes"), F.col("_groups"))
     return matched.withColumn("_d", density).select("query_id", "chunk_id", (F.col("_d") / (F.col("_d") + 1)).alias("score"))
 
 
-def cover_density(entries: Column, groups: Column) -> Column:
+def cover_density(codes: Column, groups: Column) -> Column:
     """Sum over minimal covers of (harmonic mean weight) / (1 + noise words).
 
-    A cover is a shortest span of positions in which an alternative is complete. Walking the query-term positions from
-    left to right, the latest start of a span that ends here is, per alternative, the earliest of its atoms' latest
-    starts; a span is a new minimal cover when that start has moved since the last one. Published basis: Clarke, Cormack
-    and Tudhope, "Relevance ranking for one to three term queries".
+    A cover is a shortest span of positions in which an alternative is complete. Walking the atoms' occurrences by their
+    end, the latest start of a complete span is, per alternative, the earliest of its atoms' latest starts; a span is a
+    new minimal cover when that start has moved. ``codes`` are the sorted query-term positions times two, plus one for title
+    positions, which all come before the content's. Published basis: Clarke, Cormack and Tudhope, "Relevance ranking for
+    one to three term queries".
     """
-    inverse = F.create_map(*[F.lit(x) for pair in INVERSE_WEIGHTS.items() for x in pair])
-
-    def latest_start(atom: Column, end: Column) -> Column:
-        usable = F.filter(atom["starts"], lambda s: s + atom["n_terms"] - 1 <= end)
-        return F.coalesce(F.array_max(usable), F.lit(0))
-
-    def span_start(end: Column) -> Column:
-        return F.array_max(F.transform(groups, lambda atoms: F.array_min(
-            F.transform(atoms, lambda a: latest_start(a, end)))))
-
-    def step(acc: Column, span: Column) -> Column:
-        inside = F.filter(entries, lambda e: e["pos"].between(span["start"], span["end"]))
-        weight = F.aggregate(inside, F.lit(0.0), lambda total, e: total + F.element_at(inverse, e["w"]))
-        noise = span["end"] - span["start"] - (F.size(inside) - 1)
-        gain = F.size(inside) / weight / (1 + F.greatest(noise, F.lit(0)))
-        fresh = span["start"] > acc["last"]
-        return F.struct(
-            F.when(fresh, span["start"]).otherwise(acc["last"]).alias("last"),
-            F.when(fresh, acc["sum"] + gain).otherwise(acc["sum"]).alias("sum"))
-
-    spans = F.transform(entries, lambda e: F.struct(span_start(e["pos"]).alias("start"), e["pos"].alias("end")))
-    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
-    return F.aggregate(spans, start, step, lambda acc: acc["sum"])
+    positions = F.transform(codes, lambda c: F.shiftright(c, 1))
+    titles = F.size(F.filter(codes, lambda c: c.bitwiseAND(1) == 1))
+    atoms = F.flatten(groups)
+    sizes = F.transform(groups, lambda g: F.size(g))
+    slots = F.transform(sizes, lambda n, i: F.struct(
+        (F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b) + 1).alias("at"), n.alias("n")))
+    events = F.array_sort(F.flatten(F.transform(atoms, lambda a, i: F.transform(a["starts"], lambda s: F.struct(
+        (s + a["n_terms"] - 1).alias("end"), i.alias("slot"), s.alias("start"))))))
+
+    def walk(given: Column) -> Column:
+        def step(acc: Column, e: Column) -> Column:
+            latest = F.concat(F.slice(acc["latest"], F.lit(1), e["slot"]), F.array(F.greatest(e["start"], F.get(acc["latest"], e["slot"]))), F.slice(
+                acc["latest"], e["slot"] + 2, F.greatest(F.size(acc["latest"]) - e["slot"] - 1, F.lit(0))))
+            begin = F.array_max(F.transform(given["slots"], lambda g: F.array_min(F.slice(acc["latest"], g["at"], g["n"]))))
+            # The span of the events so far is judged when the next one comes, so that events with one end count together.
+            fresh = (begin > acc["last"]) & (e["end"] > acc["end"])
+            return F.struct(
+                latest.alias("latest"), F.when(fresh, begin).otherwise(acc["last"]).alias("last"), e["end"].alias("end"),
+                F.when(fresh, acc["sum"] + gain(begin, acc["end"])).otherwise(acc["sum"]).alias("sum"))
+
+        def gain(begin: Column, end: Column) -> Column:
+            first, last = F.array_position(given["positions"], begin), F.array_position(given["positions"], end)
+            count = last - first + 1
+            in_title = F.least(last, given["titles"]) - F.least(first - 1, given["titles"])
+            weight = in_title * INVERSE_WEIGHTS["A"] + (count - in_title) * INVERSE_WEIGHTS["B"]
+            return count / weight / (1 + F.greatest(end - begin - (count - 1), F.lit(0)))
+
+        start = F.struct(
+            F.transform(given["events"], lambda _: F.lit(0)).alias("latest"), F.lit(0).alias("last"), F.lit(0).alias("end"), F.lit(0.0).alias("sum"))
+        closing = F.array(F.struct(F.lit(2**31 - 2).alias("end"), F.lit(0).alias("slot"), F.lit(0).alias("start")))
+        return F.aggregate(F.concat(given["events"], closing), start, step, lambda acc: acc["sum"])
+
+    # A one-element transform binds the prepared arrays.
+    prepared = F.array(F.struct(
+        positions.alias("positions"), titles.alias("titles"), slots.alias("slots"), events.alias("events")))
+    return F.get(F.transform(prepared, walk), F.lit(0))
 
 
 def lexical_search(queries: DataFrame, postings: DataFrame, k: int, stats: DataFrame | None = None) -> DataFrame:

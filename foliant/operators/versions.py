@@ -169,10 +169,13 @@ def embedding_reuse(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
         F.bool_and(F.coalesce(F.col("_fp") == F.col("input_fingerprint"), F.lit(False))).alias("reusable"))
 
 
-def stale_rows(stored: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Stored rows of the versions in ``target`` that the new set no longer has."""
-    versions = target.select("document_version_id").distinct()
-    return stored.join(versions, "document_version_id", "left_semi").join(
+def stale_rows(stored: DataFrame, target: DataFrame, key: str, versions: DataFrame | None = None) -> DataFrame:
+    """Stored rows that the new set of their version no longer has.
+
+    ``versions`` names the versions that are replaced; by default those that occur in ``target``.
+    """
+    replaced = (target if versions is None else versions).select("document_version_id").distinct()
+    return stored.join(replaced, "document_version_id", "left_semi").join(
         target.select("document_version_id", key), ["document_version_id", key], "left_anti")
 
 

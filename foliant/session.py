@@ -42,14 +42,21 @@ def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rest, first)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for written intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) does the session get a folder of its own. The written data outlives any executor.
+    Only where that is unset (tests on one machine) does the session get a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="foliant-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back; the data outlive any executor."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
