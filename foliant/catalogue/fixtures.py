@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from foliant.functions import ids
 from foliant.functions.skew import number_rows
 from foliant.functions.text import words
+from foliant.operators.postings import build_postings
 from foliant.params import Limits
-from foliant.session import union_all
+from foliant.session import cut_lineage, spread, union_all
 from foliant.sources.registry import with_source_defaults
 from foliant.sources.tables import with_content_hash
 
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts to parse."""
+    return spread(table(spark, sf, name))
+
+
 def _documents(df: DataFrame) -> DataFrame:
     """doc columns from source_id, external_document_id, format and text."""
     return with_content_hash(df.withColumn("content", F.col("text").cast("binary")).drop("text"))
@@ -26,7 +32,7 @@ def _documents(df: DataFrame) -> DataFrame:
 def corpus(spark: SparkSession, sf: str, paragraphs: bool = False) -> DataFrame:
     """V1: ``documents`` as text files. ``paragraphs`` doubles every line feed."""
     text = F.replace("text", F.lit("\n"), F.lit("\n\n")) if paragraphs else F.col("text")
-    return _documents(table(spark, sf, "documents").select(
+    return _documents(texts(spark, sf, "documents").select(
         F.col("source").alias("source_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("external_document_id"),
         F.lit("TEXT").alias("format"), text.alias("text")))
 
@@ -41,7 +47,7 @@ def revised(spark: SparkSession, sf: str, paragraphs: bool = False) -> DataFrame
         .when(F.col("lang") == "es", F.array_join(F.reverse(lines), "\n"))
         .otherwise(F.col("text")))
     text = F.replace(edited, F.lit("\n"), F.lit("\n\n")) if paragraphs else edited
-    old = _documents(table(spark, sf, "documents").select(
+    old = _documents(texts(spark, sf, "documents").select(
         F.col("source").alias("source_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("external_document_id"),
         F.lit("TEXT").alias("format"), text.alias("text")))
     return union_all(old, conversations(spark, sf))
@@ -121,9 +127,7 @@ def passages(spark: SparkSession, sf: str, phrase: bool = False) -> DataFrame:
 
 
 def whole_document_postings(spark: SparkSession, sf: str) -> DataFrame:
-    """Postings with a whole document as one chunk, for passages that cross chunk borders."""
-    from foliant.operators.postings import build_postings
-
-    return build_postings(table(spark, sf, "documents").select(
+    """Postings with a whole document as one chunk, for passages that cross chunk borders. Written out, as an index is."""
+    return cut_lineage(build_postings(texts(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_version_id"),
-        F.col("source").alias("source_id"), F.lit(None).cast("string").alias("section_title"), F.col("text").alias("content")))
+        F.col("source").alias("source_id"), F.lit(None).cast("string").alias("section_title"), F.col("text").alias("content"))))

@@ -224,7 +224,7 @@ def _fused(k: int) -> str:
 
 
 def search(spark, sf, profile, k=5):
-    base = in_memory_base(X.corpus(spark, sf), MODEL)
+    base = in_memory_base(X.corpus(spark, sf), MODEL, indexed=profile != "SIMPLE")
     queries = X.passages(spark, sf)
     return R.retrieve(queries, base, MODEL, profile, SCORER, k)
 

@@ -15,7 +15,9 @@ MIN_HEAVY_ROWS = 100_000
 
 def heavy_keys(counts: DataFrame, key: str, count: str = "n", min_rows: int = MIN_HEAVY_ROWS) -> list[tuple]:
     """(key, salts) of the heavy keys, from one row per key with its number of rows."""
-    total = counts.agg(F.sum(count)).first()[0] or 0
+    total, largest = counts.agg(F.sum(count), F.max(count)).first()
+    if not total or largest <= min_rows:
+        return []
     threshold = max(min_rows, -(-total // SLOTS))
     heavy = counts.where(F.col(count) > threshold).select(
         key, F.ceil(F.col(count) / threshold).cast("int").alias("salts"))

@@ -216,7 +216,10 @@ def knowledge_base(store: Store) -> KnowledgeBase:
         postings=store.read("posting"), versions=store.versions())
 
 
-def in_memory_base(docs: DataFrame, embedder: E.Embedder, limits: Limits = Limits(), n: int = MAX_CHUNK_CHARACTERS) -> KnowledgeBase:
+def in_memory_base(
+    docs: DataFrame, embedder: E.Embedder, limits: Limits = Limits(), n: int = MAX_CHUNK_CHARACTERS,
+    indexed: bool = True,
+) -> KnowledgeBase:
     """A knowledge base over documents that are all new, without a store: version 1 of each, built and ACTIVE.
 
     ``docs``: source_id, external_document_id, format, content, content_hash, already valid and with unique keys. The
@@ -232,5 +235,6 @@ def in_memory_base(docs: DataFrame, embedder: E.Embedder, limits: Limits = Limit
         {"action": F.lit("COMPUTE"), "reused_from": F.lit(None).cast("string")})
     nothing = docs.sparkSession.createDataFrame([], TABLES["embedding"])
     embedded = E.embedding_rows(plan, vectors, nothing, embedder, F.lit(None).cast("timestamp"))
+    postings = P.build_postings(usable)
     return KnowledgeBase(
-        sections=sections, chunks=texts, embeddings=embedded, postings=P.build_postings(usable))
+        sections=sections, chunks=texts, embeddings=embedded, postings=cut_lineage(postings) if indexed else postings)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a plain scan that has fewer partitions than the cluster has cores.
+
+    A file of a single row group cannot be split by the scan, and parsing text costs far more than moving it once. A scan
+    with enough partitions is left as it is, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    partitions = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if partitions < cores else df
+
+
 def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:
     """Union by column name.
 
@@ -57,6 +69,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back; the data outlive any executor."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table into the shared checkpoint folder and read it back.
+
+    The data outlive any executor, and the read-back table is columnar with known size, so later steps prune columns and
+    choose joins by it.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
