@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.rows import unnest
-from foliant.functions.skew import salted_join, top_k
+from foliant.functions.skew import number_rows, salted_join, top_k
 from foliant.operators.postings import term_stats
+from foliant.session import cut_lineage, union_all
 
 # One over the rank weight of title (A) and content (B) positions.
 INVERSE_WEIGHTS = {"A": 1.0, "B": 2.5}
@@ -54,11 +55,19 @@ def lexical_matches(queries: DataFrame, postings: DataFrame, stats: DataFrame |
 
     ``queries``: query_id, query, optionally source_ids. For each alternative of a query only the postings of its rarest
     positive term propose chunks; the other terms are then looked up by (chunk, term). The first join spreads frequent
-    terms by salting, the later ones have keys that contain the chunk id.
+    terms by salting, the later ones have keys that contain the chunk id. Alternatives without a positive term match
+    nothing here; `lexical_search` adds them.
     """
-    asked = queries.select(
+    return _matches(_asked(queries), postings, stats)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(
         F.col("query_id").cast("string").alias("query_id"), parse_query(T.strip(F.col("query"))).alias("atoms"),
         (F.col("source_ids") if "source_ids" in queries.columns else F.lit(None).cast("array<string>")).alias("source_ids"))
+
+
+def _matches(asked: DataFrame, postings: DataFrame, stats: DataFrame | None) -> DataFrame:
     flat = unnest(
         unnest(asked, ["query_id"], F.col("atoms"), "a"), ["query_id", "a.grp", "a.negated"], F.col("a.terms"), "term")
     used = flat.select("term").distinct()
@@ -164,9 +173,43 @@ def cover_density(codes: Column, groups: Column) -> Column:
     return F.get(F.transform(prepared, walk), F.lit(0))
 
 
+def _open_matches(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame | None:
+    """Matches of alternatives that only negate: the k lowest chunk ids without the negated atoms, at score 0.
+
+    Chunks are numbered by id within their source. If m chunks of a source are excluded for a query, its first k others
+    lie among the source's first k + m, so only those numbers are joined; no query meets the whole table.
+    """
+    negative = unnest(asked, ["query_id", "source_ids", "atoms"], F.array_distinct("atoms.grp"), "grp").where(
+        ~F.exists("atoms", lambda a: (a["grp"] == F.col("grp")) & ~a["negated"]))
+    if negative.isEmpty():
+        return None
+    barred = F.transform(F.filter("atoms", lambda a: a["grp"] == F.col("grp")), lambda a, i: F.struct(
+        i.alias("grp"), i.alias("atom"), F.lit(False).alias("negated"), a["terms"].alias("terms")))
+    open_queries = negative.select(
+        F.concat_ws("\n", "query_id", F.col("grp").cast("string")).alias("query_id"), F.col("query_id").alias("_asker"), "source_ids", barred.alias("atoms"))
+    chunks = number_rows(postings.select("chunk_id", "source_id").distinct(), ["source_id"], ["chunk_id"], "_n")
+    excluded = cut_lineage(_matches(open_queries.select("query_id", "atoms", "source_ids"), postings, None).select("query_id", "chunk_id").join(
+        chunks.select("chunk_id", "source_id"), "chunk_id"))
+    sources = chunks.groupBy("source_id").agg(F.max("_n").alias("_size"))
+    named = unnest(open_queries.where(F.size("source_ids") > 0), ["query_id", "_asker"], F.col("source_ids"), "source_id").join(sources, "source_id")
+    anywhere = open_queries.where(F.coalesce(F.size("source_ids") <= 0, F.lit(True))).select("query_id", "_asker").withColumn("_all", F.lit(1)).join(
+        sources.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    counts = excluded.groupBy("query_id", "source_id").agg(F.count("*").alias("_m"))
+    wanted = union_all(named, anywhere).join(counts, ["query_id", "source_id"], "left")
+    reach = F.least(F.col("_size"), F.coalesce("_m", F.lit(0)) + k)
+    rows = unnest(wanted, ["query_id", "_asker", "source_id"], F.sequence(F.lit(1).cast("long"), reach), "_n")
+    free = rows.join(chunks, ["source_id", "_n"]).join(excluded, ["query_id", "chunk_id"], "left_anti")
+    return top_k(free, "query_id", [F.asc("chunk_id")], k).select(F.col("_asker").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
+
+
 def lexical_search(queries: DataFrame, postings: DataFrame, k: int, stats: DataFrame | None = None) -> DataFrame:
     """The k best matches per query by score, then chunk id, with their rank."""
-    hits = top_k(lexical_matches(queries, postings, stats), "query_id", [F.desc("score"), F.asc("chunk_id")], k)
+    asked = _asked(queries)
+    matches = _matches(asked, postings, stats)
+    negative = _open_matches(asked, postings, k)
+    if negative is not None:
+        matches = union_all(matches, negative).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    hits = top_k(matches, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
     if "k" in queries.columns:
         limits = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("k").alias("_k"))
         hits = hits.join(limits, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
