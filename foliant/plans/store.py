@@ -38,6 +38,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._commits: list[int] | None = None
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -47,11 +48,17 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def commits(self) -> list[int]:
-        """Committed generations: one number per batch ever committed."""
-        if not self._exists("commit"):
-            return []
-        rows = self.spark.read.schema("generation long, at timestamp").parquet(self._path("commit")).select("generation")
-        return sorted(r[0] for r in rows.distinct().collect())
+        """Committed generations: one number per batch. Read once, so that a batch works on one snapshot; see `refresh`."""
+        if self._commits is None:
+            self._commits = []
+            if self._exists("commit"):
+                rows = self.spark.read.schema("generation long, at timestamp").parquet(self._path("commit")).select("generation")
+                self._commits = sorted(r[0] for r in rows.distinct().collect())
+        return self._commits
+
+    def refresh(self) -> None:
+        """Look at the commits of other writers again."""
+        self._commits = None
 
     def _written(self, table: str) -> list[int]:
         """Generations that have a folder in a table, committed or not."""
@@ -64,6 +71,7 @@ class Store:
 
     def next_generation(self) -> int:
         """A number above every one ever used, so that leftovers of a failed batch can never become visible."""
+        self.refresh()
         return max([0, *self.commits(), *[g for t in [*TABLES, *STAGING] for g in self._written(t)]]) + 1
 
     def append(self, table: str, df: DataFrame, generation: int) -> DataFrame:
@@ -80,6 +88,7 @@ class Store:
         """Make the generation visible. A single file, moved into place at once."""
         self.spark.range(1).select(F.lit(generation).cast("long").alias("generation"), F.current_timestamp().alias("at")).coalesce(
             1).write.mode("append").parquet(self._path("commit"))
+        self.refresh()
 
     def _all(self, table: str) -> DataFrame:
         """Rows of committed generations with their ``generation``; the filter prunes partitions."""
