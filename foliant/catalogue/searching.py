@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.catalogue import fixtures as X, query
 from foliant.catalogue import sql as Q
 from foliant.catalogue.building import MODEL
+from foliant.functions.skew import number_rows
 from foliant.operators import chunks as D, context as J, evaluation as K, fusion, lexical, routing, sections as C, semantic
 from foliant.plans import retrieve as R
 from foliant.plans.ingest import in_memory_base, parse_documents
@@ -147,10 +148,12 @@ def channels(spark, sf):
     rows = X.table(spark, sf, "lineitem")
 
     def ranked(df, column, supplier):
-        order = Window.partitionBy("l_orderkey").orderBy(F.desc(column), "l_linenumber", "l_partkey", "l_suppkey")
-        return df.select(
+        # An order could hold any share of the lines, so they are numbered without gathering an order in one task.
+        order = ["_down", "l_linenumber", "l_partkey", "l_suppkey"]
+        numbered = number_rows(df.withColumn("_down", -F.col(column)).select("l_orderkey", *order, "l_returnflag"), ["l_orderkey"], order, "rank")
+        return numbered.select(
             F.col("l_orderkey").cast("string").alias("query_id"), F.col("l_partkey").cast("string").alias("chunk_id"),
-            F.row_number().over(order).alias("rank"), supplier.cast("string").alias("document_id"),
+            F.col("rank").cast("int").alias("rank"), supplier.cast("string").alias("document_id"),
             F.lit("v").alias("document_version_id"), F.lit("s").alias("section_id"))
 
     return [ranked(rows, "l_extendedprice", F.col("l_suppkey")),

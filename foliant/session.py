@@ -60,7 +60,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     Only where that is unset (tests on one machine) does the session get a folder of its own.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    setting = "spark.checkpoint.dir"
+    named = spark.conf.get(setting, None) or context.getConf().get(setting, None) or context.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="foliant-checkpoint-")
     if not context.getCheckpointDir():
