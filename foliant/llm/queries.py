@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.chunk_bpe import encode_documents
+from foliant.llm import language, quality
 from foliant.llm.packing import pack_documents
 from foliant.llm.registry import ORACLES, QUERIES, query, table
+from foliant.llm.simhash import near_duplicates
+from foliant.llm.sketches import edited_fingerprints, resemblance, sketch_text
 from foliant.llm.token_counts import token_counts
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -19,6 +22,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_language")
+def op1_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs, language.train(docs, ~language.held_out()))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"), quality.grade(F.col("quality"), F.col("toxic")))
+    return quality.rate(docs, model).select("doc_id", "expected_grade", "p_best", (F.col("p_best") >= quality.KEEP).alias("kept"))
+
+
 @query("op4_chunk_bpe")
 def op4_chunk_bpe(spark: SparkSession, sf: str) -> DataFrame:
     encoded = encode_documents(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -28,11 +45,25 @@ def op4_chunk_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), width=3)
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"), 4096)
 
 
+@query("op9_sketches")
+def op9_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    found = edited_fingerprints(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch_text(F.col("sketch")).alias("fingerprint"),
+        sketch_text(F.col("edited_sketch")).alias("edited_fingerprint"), resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = pack_documents(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
