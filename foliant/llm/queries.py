@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.chunk_bpe import encode_documents
-from foliant.llm import language, quality
+from foliant.llm import language, quality, warc
 from foliant.llm.packing import pack_documents
+from foliant.llm.pivot_topk import topk
 from foliant.llm.registry import ORACLES, QUERIES, query, table
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.sketches import edited_fingerprints, resemblance, sketch_text
 from foliant.llm.token_counts import token_counts
+from foliant.llm.training_order import read_shards, training_order
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -29,6 +31,20 @@ def op1_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@query("op2_pivot_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""")
+def op2_pivot_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -45,6 +61,27 @@ def op4_chunk_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query("op5_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31), 1)), 'string_agg', '') AS digest,
+    min(page_id) OVER (PARTITION BY html) AS first
+  FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""")
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.read_records(warc.archive_pages(table(spark, sf, "pages")))
+    read = F.col("payload").isNotNull()
+    return records.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(read, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(read, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), width=3)
@@ -55,6 +92,13 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"), 4096)
 
 
+@query("op8_training_order")
+def op8_training_order(spark: SparkSession, sf: str) -> DataFrame:
+    key = 20240229
+    shards = training_order(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, key=key)
+    return read_shards(shards, key).drop("ids")
+
+
 @query("op9_sketches")
 def op9_sketches(spark: SparkSession, sf: str) -> DataFrame:
     found = edited_fingerprints(table(spark, sf, "documents"))
