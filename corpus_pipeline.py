@@ -1,21 +1,70 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: ``run`` applies STAGES one after another.
+
+Every stage takes the documents that its predecessor kept, whole rows with all their columns, and all but the last return
+documents. Rows travel through the operators as values of an id column, so no stage has to look its documents up again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from foliant.llm import language, quality
 from foliant.llm.packing import pack_documents
 from foliant.llm.queries import tokenizer_path
+from foliant.llm.simhash import near_duplicates
 from foliant.session import cut_lineage
 
+#: A text that the best language's statistics code in as many bits as its raw bytes is in none of the languages.
+MOST_BITS = 8.0
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    return found.select("_row.*")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from these documents. Texts that are null or have no letter go, and texts that
+    no language codes in fewer bits than they have."""
+    model = language.train(docs, ~language.held_out())
+    found = language.identify(_carried(docs), model, "_row", "text")
+    return _rows(found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("bits_per_byte") < MOST_BITS)))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that reach the best grade with a chance of ``quality.KEEP`` or more; graded by the table ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, quality.grade(F.col("quality"), F.col("toxic")))
+    return _rows(quality.rate(_carried(docs), model, "_row", "text").where(F.col("p_best") >= quality.KEEP))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id, null being the largest. Of rows that are
+    equal in all columns one stays."""
+    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+    found = near_duplicates(keyed.select(F.struct("_null", "_id", "_hash").alias("_key"), "text"), id_column="_key")
+    stays = found.where(F.col("_key") == F.col("component_id")).select("_key.*").distinct()
+    # Equal rows have equal keys, which the join has already brought together.
+    copy = F.row_number().over(Window.partitionBy("_null", "_id", "_hash").orderBy("_null"))
+    return keyed.join(stays, ["_null", "_id", "_hash"]).withColumn("_copy", copy).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences of at most 2048 tokens."""
+    """Pieces of training sequences of at most 2048 tokens, with their ids."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
-STAGES = [("packing", packing)]
-ORACLE_SQL = None  # no stage but the last could be told in SQL
+STAGES = [
+    ("language ID", language_id),
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("packing", packing),
+]
+ORACLE_SQL = None  # statistics of byte contexts, fitted weights and a tokenizer's ids are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
