@@ -14,7 +14,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +25,12 @@ BUCKETS = 1 << 20
 TRAINING_ROWS = 12_000
 #: Characters of a word's beginning that make a feature of their own.
 STEM = 4
-#: A feature counts if so many training texts have it, and if their mean grade differs from the mean of all by so many
-#: standard errors; the many words that tell nothing would add up to noise in long texts.
+#: A feature counts if so many training texts have it, and if some grade is reached more or less often among them than among all,
+#: by so many standard errors; the many words that tell nothing would add up to noise in long texts.
 MIN_TEXTS = 10
-MIN_SHIFT = 5.0
+MIN_SHIFT = 7.0
 STEPS = 150
-PENALTY = 1e-4
+PENALTY = 3e-4
 #: Texts whose chance of the best grade is below this are rejected.
 KEEP = 0.5
 BATCH_BYTES = 4 << 20
@@ -91,8 +90,12 @@ def fit(grades: np.ndarray, flat: np.ndarray, counts: np.ndarray, levels: int) -
     another."""
     texts = np.bincount(flat, minlength=BUCKETS)
     row = np.repeat(np.arange(len(grades)), counts)
-    apart = grades - grades.mean() if len(grades) else grades
-    shift = np.abs(np.bincount(flat, apart[row], BUCKETS)) / (np.sqrt(np.maximum(texts, 1)) * max(apart.std() if len(grades) else 0, 1e-9))
+    shift = np.zeros(BUCKETS)
+    for k in range(1, levels):
+        reached = grades >= k
+        apart = reached - (reached.mean() if len(grades) else 0.0)
+        deviation = max(apart.std() if len(grades) else 0.0, 1e-9)
+        shift = np.maximum(shift, np.abs(np.bincount(flat, apart[row], BUCKETS)) / (np.sqrt(np.maximum(texts, 1)) * deviation))
     kept = ((texts >= MIN_TEXTS) & (shift >= MIN_SHIFT))[flat]
     row = row[kept]
     used, column = np.unique(flat[kept], return_inverse=True)
@@ -141,10 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, grades: Column, levels: int = 3, r
 
     got = rated.mapInArrow(featured, "grade int, features array<long>").toArrow()
     # The order in which rows arrive is not fixed, and sums of floats depend on it.
-    order = sorted(range(got.num_rows), key=lambda i: (got["grade"][i].as_py(), got["features"][i].as_py()))
-    got = got.take(order).combine_chunks()
-    lists = got["features"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
-    return fit(got["grade"].to_numpy().astype(np.int64), pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), levels)
+    rated = sorted(zip(got["grade"].to_pylist(), got["features"].to_pylist()))
+    flat = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for _, x in rated]])
+    return fit(np.array([g for g, _ in rated], np.int64), flat, np.array([len(x) for _, x in rated], np.int64), levels)
 
 
 def rate(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -56,7 +56,7 @@ def record_text(rows: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
     A response holds an HTTP head and the payload; a revisit the head alone, with the digest and length of the payload it
     stands for. A null url becomes the name of the page; white space and control characters in a url are cut out.
     """
-    revisit = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
