@@ -24,7 +24,7 @@ from foliant.llm.words import WordEncoder, word_encoder, words_of
 MEAN_CHUNK = 1024
 BATCH_BYTES = 4 << 20
 #: Chunks that a task keeps before it starts afresh.
-MAX_CHUNKS = 30_000
+MAX_CHUNKS = 10_000
 
 
 def _gear() -> np.ndarray:
