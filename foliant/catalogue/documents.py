@@ -35,7 +35,7 @@ SELECT page_id, id AS external_document_id,
     WHEN e NOT IN ('txt', 'md', 'markdown') THEN 'unsupported format' END AS violation FROM b""")
 def table_documents(spark, sf):
     url = F.col("url")
-    external = F.when(url.startswith("https://"), F.concat(F.substring(url, 9, 10_000_000), F.lit(".md"))).otherwise(url)
+    external = F.when(url.startswith("https://"), F.concat(F.substr(url, F.lit(9)), F.lit(".md"))).otherwise(url)
     rows = X.table(spark, sf, "pages").select("page_id", F.lit("pages").alias("source_id"), external.alias("external_document_id"),
                                                F.col("html").cast("binary").alias("content"))
     good, bad = documents_from_table(rows)

@@ -56,21 +56,23 @@ def revised(spark: SparkSession, sf: str, paragraphs: bool = False) -> DataFrame
 def conversations(spark: SparkSession, sf: str, fenced: bool = False) -> DataFrame:
     """V3: one Markdown document per conversation; user turns are level 2, assistant turns 3, system turns 5.
 
-    A conversation over the document size limit would be refused by the contract, so it is not put together: its size is
-    summed first, and only lists of bounded size are collected. ``fenced`` puts assistant texts into fenced blocks that
-    begin with a line that looks like a heading.
+    A conversation over the document size limit is refused by the contract whatever it says, so it is not put together: it
+    becomes a document without content. Only lists of bounded size are collected. ``fenced`` puts assistant texts into fenced
+    blocks that begin with a line that looks like a heading.
     """
     turns = table(spark, sf, "conversations")
-    small = turns.groupBy("conv_id").agg(F.sum(F.octet_length("text") + 40).alias("_size")).where(
-        F.col("_size") <= Limits().max_bytes)
     marks = F.when(F.col("role") == "user", "## ").when(F.col("role") == "assistant", "### ").otherwise("##### ")
     text = F.col("text")
     if fenced:
         text = F.when(F.col("role") == "assistant", F.concat(F.lit("```text\n# not a heading\n"), text, F.lit("\n```"))).otherwise(text)
     part = F.concat(marks, F.col("role"), F.lit("\n\n"), text)
+    title = F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"))
+    sizes = turns.groupBy("conv_id").agg((F.sum(F.octet_length(part) + 2) - 2).alias("_size")).withColumn(
+        "_small", F.col("_size") + F.octet_length(title) <= Limits().max_bytes)
     ordered = F.sort_array(F.collect_list(F.struct("turn", part.alias("part"))))
-    body = turns.join(small.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(ordered.alias("_t"))
-    whole = F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join("_t.part", "\n\n"))
+    body = turns.join(sizes.where("_small").select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(ordered.alias("_t"))
+    whole = F.concat(title, F.array_join("_t.part", "\n\n"))
+    body = union_all(body, sizes.where("not _small").select("conv_id", F.lit(None).cast(body.schema["_t"].dataType).alias("_t")))
     return _documents(body.select(
         F.lit("conversations").alias("source_id"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit(".md")).alias("external_document_id"),
         F.lit("MARKDOWN").alias("format"), whole.alias("text")))

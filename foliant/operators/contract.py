@@ -39,11 +39,15 @@ def validate_structure(
 ) -> DataFrame:
     """B2: add ``violation`` from the numbers of sections and chunks stored for each document.
 
-    The counts are combined before the shuffle, so a large document costs one row per task.
+    The counts are combined before the shuffle, so a large document costs one row per task. A document over the section limit
+    has no section rows; where ``docs`` carries the ``section_count`` of its parsed row, that counts.
     """
+    parsed = F.col("section_count") if "section_count" in docs.columns else F.lit(0)
+    docs = docs.withColumn("_parsed", F.coalesce(parsed, F.lit(0))).drop("section_count")
     counts = sections.groupBy(key).agg(F.count("*").alias("section_count"))
     chunk_counts = chunks.groupBy(key).agg(F.count("*").alias("chunk_count"))
-    joined = docs.join(counts, key, "left").join(chunk_counts, key, "left").fillna(0, ["section_count", "chunk_count"])
+    joined = docs.join(counts, key, "left").join(chunk_counts, key, "left").fillna(0, ["section_count", "chunk_count"]).withColumn(
+        "section_count", F.greatest("section_count", "_parsed").cast("long")).drop("_parsed")
     found = structure_violation(F.col("section_count"), F.col("chunk_count"), limits)
     earlier = F.col("violation") if "violation" in docs.columns else F.lit(None).cast("string")
     return joined.withColumn("violation", F.coalesce(earlier, found))

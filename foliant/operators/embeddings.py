@@ -167,6 +167,8 @@ def embed_batch(texts: DataFrame, embedder: Embedder, batch: int = EMBEDDING_BAT
                 got = np.asarray(embedder.embed(asked), dtype=np.float32)
                 if got.shape != (len(asked), dimensions):
                     raise ValueError(f"embedder returned {got.shape}, expected {(len(asked), dimensions)}")
+                if not np.isfinite(got).all():
+                    raise ValueError("embedder returned a number that is not finite")
                 parts.append(got)
             flat = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
             offsets = np.arange(len(values) + 1, dtype=np.int32) * dimensions

@@ -51,7 +51,7 @@ def lexical_terms(queries: DataFrame) -> DataFrame:
 
 
 def lexical_matches(queries: DataFrame, postings: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """I5 without the limit: every (query_id, chunk_id) that satisfies its query, with its cover-density score.
+    """I5 without the limit: every (query_id, chunk_id) that satisfies an alternative with a positive term, with its cover-density score.
 
     ``queries``: query_id, query, optionally source_ids. For each alternative of a query only the postings of its rarest
     positive term propose chunks; the other terms are then looked up by (chunk, term). The first join spreads frequent
@@ -173,11 +173,17 @@ def cover_density(codes: Column, groups: Column) -> Column:
     return F.get(F.transform(prepared, walk), F.lit(0))
 
 
-def _open_matches(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame | None:
+# Stands for the chunks of every source together; no source id holds a NUL.
+_EVERYWHERE = "\0"
+_SPAN = 4096
+
+
+def _open_matches(asked: DataFrame, postings: DataFrame, k: int, chunks: DataFrame | None) -> DataFrame | None:
     """Matches of alternatives that only negate: the k lowest chunk ids without the negated atoms, at score 0.
 
-    Chunks are numbered by id within their source. If m chunks of a source are excluded for a query, its first k others
-    lie among the source's first k + m, so only those numbers are joined; no query meets the whole table.
+    Chunks are numbered by id within their source, and once more over all sources for queries without a restriction. If m
+    chunks of a source are excluded for a query, its first k others lie among the source's first k + m, so only those
+    numbers are joined. ``chunks`` (chunk_id, source_id) also names chunks without any token; without it the postings name them.
     """
     negative = unnest(asked, ["query_id", "source_ids", "atoms"], F.array_distinct("atoms.grp"), "grp").where(
         ~F.exists("atoms", lambda a: (a["grp"] == F.col("grp")) & ~a["negated"]))
@@ -187,26 +193,28 @@ def _open_matches(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame |
         i.alias("grp"), i.alias("atom"), F.lit(False).alias("negated"), a["terms"].alias("terms")))
     open_queries = negative.select(
         F.concat_ws("\n", "query_id", F.col("grp").cast("string")).alias("query_id"), F.col("query_id").alias("_asker"), "source_ids", barred.alias("atoms"))
-    chunks = number_rows(postings.select("chunk_id", "source_id").distinct(), ["source_id"], ["chunk_id"], "_n")
-    excluded = cut_lineage(_matches(open_queries.select("query_id", "atoms", "source_ids"), postings, None).select("query_id", "chunk_id").join(
-        chunks.select("chunk_id", "source_id"), "chunk_id"))
-    sources = chunks.groupBy("source_id").agg(F.max("_n").alias("_size"))
-    named = unnest(open_queries.where(F.size("source_ids") > 0), ["query_id", "_asker"], F.col("source_ids"), "source_id").join(sources, "source_id")
-    anywhere = open_queries.where(F.coalesce(F.size("source_ids") <= 0, F.lit(True))).select("query_id", "_asker").withColumn("_all", F.lit(1)).join(
-        sources.withColumn("_all", F.lit(1)), "_all").drop("_all")
-    counts = excluded.groupBy("query_id", "source_id").agg(F.count("*").alias("_m"))
-    wanted = union_all(named, anywhere).join(counts, ["query_id", "source_id"], "left")
+    named = (postings if chunks is None else chunks).select("chunk_id", "source_id").distinct()
+    numbered = number_rows(union_all(named, named.withColumn("source_id", F.lit(_EVERYWHERE))), ["source_id"], ["chunk_id"], "_n")
+    excluded = cut_lineage(_matches(open_queries.select("query_id", "atoms", "source_ids"), postings, None).select("query_id", "chunk_id"))
+    sizes = numbered.groupBy("source_id").agg(F.max("_n").alias("_size"))
+    scope = F.when(F.size("source_ids") > 0, F.array_distinct("source_ids")).otherwise(F.array(F.lit(_EVERYWHERE)))
+    wanted = unnest(open_queries, ["query_id", "_asker"], scope, "source_id").join(sizes, "source_id")
+    # Exclusions of a query over all its sources bound those in each.
+    counts = excluded.groupBy("query_id").agg(F.count("*").alias("_m"))
     reach = F.least(F.col("_size"), F.coalesce("_m", F.lit(0)) + k)
-    rows = unnest(wanted, ["query_id", "_asker", "source_id"], F.sequence(F.lit(1).cast("long"), reach), "_n")
-    free = rows.join(chunks, ["source_id", "_n"]).join(excluded, ["query_id", "chunk_id"], "left_anti")
+    spans = unnest(wanted.join(counts, "query_id", "left"), ["query_id", "_asker", "source_id", reach.alias("_reach")],
+                   F.sequence(F.lit(1).cast("long"), reach, F.lit(_SPAN).cast("long")), "_first")
+    rows = unnest(spans, ["query_id", "_asker", "source_id"], F.sequence(F.col("_first"), F.least(F.col("_first") + (_SPAN - 1), F.col("_reach"))), "_n")
+    free = rows.join(numbered, ["source_id", "_n"]).join(excluded, ["query_id", "chunk_id"], "left_anti")
     return top_k(free, "query_id", [F.asc("chunk_id")], k).select(F.col("_asker").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
 
 
-def lexical_search(queries: DataFrame, postings: DataFrame, k: int, stats: DataFrame | None = None) -> DataFrame:
-    """The k best matches per query by score, then chunk id, with their rank."""
+def lexical_search(queries: DataFrame, postings: DataFrame, k: int, stats: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """The k best matches per query by score, then chunk id, with their rank. ``chunks`` names the chunks that queries which only
+    negate may find; without it chunks that hold no token are unknown."""
     asked = _asked(queries)
     matches = _matches(asked, postings, stats)
-    negative = _open_matches(asked, postings, k)
+    negative = _open_matches(asked, postings, k, chunks)
     if negative is not None:
         matches = union_all(matches, negative).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     hits = top_k(matches, "query_id", [F.desc("score"), F.asc("chunk_id")], k)

@@ -61,7 +61,7 @@ def similar_materials(samples: DataFrame, kb: KnowledgeBase, embedder: Embedder,
     embedded, _ = semantic.embed_queries(queries, embedder)
     by_method = {
         "SEMANTIC": semantic.semantic_search(embedded, active.embeddings.where(semantic.model_filter(embedder)), PREVIEW_MATCHES, min_score),
-        "LEXICAL": lexical.lexical_search(queries, active.postings, PREVIEW_MATCHES, active.stats),
+        "LEXICAL": lexical.lexical_search(queries, active.postings, PREVIEW_MATCHES, active.stats, active.chunks),
     }
     found = attach(union_all(*[hits.withColumn("method", F.lit(m)) for m, hits in by_method.items()]), active.chunks, "method")
     parts = F.split("query_id", "\n")

@@ -34,7 +34,14 @@ def decide(docs: DataFrame, sources: DataFrame, versions: DataFrame, limits: Lim
     side is small enough for Catalyst to broadcast.
     """
     keyed = V.with_document_id(docs)
-    repeated = keyed.groupBy("document_id").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    copies = keyed.groupBy("document_id").agg(
+        F.count("*").alias("_copies"), F.coalesce((F.min("content_hash") == F.max("content_hash")) & (F.min("format") == F.max("format")), F.lit(False)).alias("_equal")
+    ).where("_copies > 1")
+    # Copies with the same bytes are one document; those that differ are refused.
+    equal = copies.where("_equal").select("document_id")
+    keyed = union_all(
+        keyed.join(equal, "document_id", "left_anti"), keyed.join(equal, "document_id", "left_semi").dropDuplicates(["document_id"]))
+    repeated = copies.where("not _equal").select("document_id", "_copies")
     numbers = versions.groupBy("document_id").agg(
         F.max("version_number").alias("_max"), F.max((F.col("status") == "BUILDING").cast("int")).alias("_building"))
     policy = sources.select("source_id", "update_policy")
@@ -147,16 +154,17 @@ def ingest_batch(
 
     Report: one row per incoming document with ``outcome`` BUILT, UNCHANGED, REQUIRES_VERSION_RESOLUTION,
     BUILD_IN_PROGRESS, REJECTED or FAILED. Unchanged documents are not parsed. A failed version leaves the former ACTIVE one in
-    place. A document may occur once per batch; successive revisions go into successive batches.
+    place. Rows with equal keys and bytes are one document; successive revisions go into successive batches.
     """
     now = F.current_timestamp() if now is None else now
     generation = store.next_generation()
     decided = decide(docs, sources, store.versions(), limits, force)
-    building = F.col("outcome") == "BUILD"
+    # The contract holds for every new or changed document, whatever the policy makes of it.
+    judged = F.col("outcome").isin("BUILD", "REQUIRES_VERSION_RESOLUTION", "BUILD_IN_PROGRESS")
     parsed = parse_documents(
-        decided.withColumn("_bytes", F.col("content")).withColumn("content", F.when(building, F.col("content")).otherwise(F.lit(b""))),
+        decided.withColumn("_bytes", F.col("content")).withColumn("content", F.when(judged, F.col("content")).otherwise(F.lit(b""))),
         limits, n)
-    broken = F.when(building, contract.structure_violation(F.col("section_count"), F.col("chunk_count"), limits))
+    broken = F.when(judged, contract.structure_violation(F.col("section_count"), F.col("chunk_count"), limits))
     parsed = (
         parsed.withColumn("violation", F.coalesce("violation", broken))
         .withColumn("outcome", F.when(F.col("violation").isNotNull(), "REJECTED").otherwise(F.col("outcome")))

@@ -7,10 +7,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
 from foliant.operators import context, fusion, lexical, semantic, versions as V
 from foliant.operators.embeddings import Embedder
+from foliant.operators.routing import query_scope
 from foliant.params import DEFAULT_LIMIT, MIN_SCORE, NEIGHBOUR_DISTANCE, SMALL_SECTION_MAX_CHARACTERS, check_limit
-from foliant.session import union_all
+from foliant.session import cut_lineage, union_all
 
 HIT_COLUMNS = [
     "document_id", "document_version_id", "section_id", "source_id", "external_document_id", "section_title", "content",
@@ -59,7 +61,7 @@ def _semantic(queries: DataFrame, kb: KnowledgeBase, embedder: Embedder, k: int,
 def hybrid_ids(queries: DataFrame, kb: KnowledgeBase, embedder: Embedder, k: int, min_score: float = MIN_SCORE) -> DataFrame:
     """Semantic and lexical search with the same limit, fused; ids only."""
     vector = _semantic(queries, kb, embedder, k, min_score)
-    text = lexical.lexical_search(queries, kb.postings, k, kb.stats)
+    text = lexical.lexical_search(queries, kb.postings, k, kb.stats, kb.chunks)
     return fusion.rrf_fuse([vector.select("query_id", "chunk_id", "rank"), text.select("query_id", "chunk_id", "rank")], k)
 
 
@@ -72,7 +74,7 @@ def _retrieve_one(
         return attach(hybrid_ids(queries, kb, embedder, k, min_score), kb.chunks)
     if scorer is None:
         raise ValueError("profile ADVANCED needs a scorer")
-    wide = queries.sparkSession.range(1).select(fusion.candidate_limit(k)).first()[0]
+    wide = fusion.candidate_count(k)
     candidates = attach(hybrid_ids(queries, kb, embedder, wide, min_score), kb.chunks)
     return fusion.rerank(queries, candidates, scorer, k).select("query_id", "rank", "chunk_id", *HIT_COLUMNS, "score")
 
@@ -81,7 +83,8 @@ def retrieve(
     queries: DataFrame, kb: KnowledgeBase, embedder: Embedder, profile: str | None = "SIMPLE",
     scorer: fusion.Scorer | None = None, k: int = DEFAULT_LIMIT, min_score: float = MIN_SCORE,
 ) -> DataFrame:
-    """Hits of every query by profile. ``profile=None`` takes the profile from a column of the query table.
+    """Hits of every query by profile. ``profile=None`` takes the profile from a column of the query table, null being SIMPLE;
+    an unknown profile, or ADVANCED without a scorer, is an error.
 
     ``queries``: query_id, query, optionally source_ids (I9). SIMPLE searches vectors, HYBRID fuses vectors and text,
     ADVANCED reranks a wider hybrid result.
@@ -93,8 +96,10 @@ def retrieve(
         if profile not in PROFILES:
             raise ValueError(f"unknown profile {profile}")
         return _retrieve_one(queries, active, profile, embedder, scorer, k, min_score)
-    chosen = queries.withColumn("profile", F.coalesce("profile", F.lit("SIMPLE")))
     wanted = [p for p in PROFILES if p != "ADVANCED" or scorer is not None]
+    named = F.coalesce("profile", F.lit("SIMPLE"))
+    chosen = queries.withColumn("profile", F.when(named.isin(wanted), named).otherwise(
+        F.raise_error(F.concat(F.lit("profile unknown or without a scorer: "), named))))
     return union_all(*[
         _retrieve_one(chosen.where(F.col("profile") == p), active, p, embedder, scorer, k, min_score) for p in wanted])
 
@@ -120,3 +125,22 @@ def retrieve_context(
 ) -> DataFrame:
     """Retrieve, then expand every hit of every query by joins, then merge equal contexts."""
     return expand(retrieve(queries, kb, embedder, profile, scorer, k, min_score), kb.active(), strategy)
+
+
+def answer(
+    queries: DataFrame, sources: DataFrame, kb: KnowledgeBase, embedder: Embedder, profile: str | None = "SIMPLE", strategy: str = "CHUNK_ONLY",
+    scorer: fusion.Scorer | None = None, k: int = DEFAULT_LIMIT, min_score: float = MIN_SCORE, routing: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(contexts, violations) of queries as users ask them: query_id, query, optionally search_source_id.
+
+    I9 and I8 limit each query to its explicit source, or else to the sources it is routed to, before J6 runs. Every query that is not
+    searched for is among the violations (query_id, violation): blank query, blank source, unknown source.
+    """
+    queries = queries.withColumn("query_id", F.col("query_id").cast("string"))
+    blank = T.is_blank(F.coalesce("query", F.lit("")))
+    scoped, refused = query_scope(queries.where(~blank), sources, routing)
+    scoped = cut_lineage(scoped)
+    found = retrieve_context(scoped, kb, embedder, profile, strategy, scorer, k, min_score)
+    violations = union_all(
+        queries.where(blank).select("query_id", F.lit("blank query").alias("violation")), refused.select("query_id", "violation"))
+    return found, violations

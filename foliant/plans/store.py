@@ -8,6 +8,7 @@ Nothing is rewritten, so a lost executor or a failed batch leaves the visible st
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +71,24 @@ class Store:
         return [int(n.split("=")[1]) for n in names if n.startswith("generation=")]
 
     def next_generation(self) -> int:
-        """A number above every one ever used, so that leftovers of a failed batch can never become visible."""
+        """A number above every one ever used, so that leftovers of a failed batch can never become visible. It is claimed by
+        creating a file, which only one writer can do, so batches that run at once get different numbers."""
         self.refresh()
-        return max([0, *self.commits(), *[g for t in [*TABLES, *STAGING] for g in self._written(t)]]) + 1
+        number = max([0, *self.commits(), *[g for t in [*TABLES, *STAGING, "claim"] for g in self._written(t)]]) + 1
+        while not self._claim(number):
+            number += 1
+        return number
+
+    def _claim(self, number: int) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path('claim')}/generation={number}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            system.create(path, False).close()
+        except Py4JJavaError:
+            if system.exists(path):
+                return False
+            raise
+        return True
 
     def append(self, table: str, df: DataFrame, generation: int) -> DataFrame:
         """Write one batch's rows of a table and return them as read back, which cuts the lineage."""
@@ -81,7 +97,7 @@ class Store:
         if generation in self.commits():
             raise ValueError(f"generation {generation} is already committed")
         path = f"{self._path(table)}/generation={generation}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def commit(self, generation: int) -> None:
@@ -119,7 +135,7 @@ class Store:
         """
         written = self.append(table, df, generation)
         ids = (versions if versions is not None else written).select("document_version_id").distinct()
-        ids.write.mode("overwrite").parquet(f"{self._path('manifest')}/generation={generation}/table_name={table}")
+        ids.write.mode("errorifexists").parquet(f"{self._path('manifest')}/generation={generation}/table_name={table}")
         return written
 
     def versions(self) -> DataFrame:

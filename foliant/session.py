@@ -57,12 +57,15 @@ def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) does the session get a folder of its own.
+    Only where that is unset and the master is local (tests on one machine) does the session get a folder of its own; on a
+    cluster a folder of the driver would be another one on each executor, so there it is an error.
     """
     context = spark.sparkContext
     setting = "spark.checkpoint.dir"
     named = spark.conf.get(setting, None) or context.getConf().get(setting, None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError(f"{setting} is unset: the cluster has to name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="foliant-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)

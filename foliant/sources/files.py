@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.params import Limits
+from foliant.session import union_all
 from foliant.sources.tables import with_content_hash
 
 # Format of each recognised file extension.
@@ -48,28 +49,43 @@ def file_metadata(df: DataFrame) -> DataFrame:
     return df.withColumn("metadata", F.create_map(
         F.lit("fileName"), F.element_at(F.split("path", "/"), -1),
         F.lit("size"), F.col("length").cast("string"),
-        F.lit("lastModified"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        F.lit("lastModified"), F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
     ))
 
 
+def _listing(spark: SparkSession, root: str) -> tuple[str, list[str]]:
+    """The root as listed paths spell it, and the names below it of files that a scan takes for hidden."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(path).toString().rstrip("/")
+    hidden, found = [], system.listFiles(path, True)
+    while found.hasNext():
+        name = found.next().getPath().toString()[len(base) + 1:]
+        if any(part.startswith((".", "_")) and "=" not in part for part in name.split("/")):
+            hidden.append(name)
+    return base, sorted(hidden)
+
+
 def scan_files(
     spark: SparkSession, source_id: str, root: str, max_bytes: int = Limits().max_bytes
 ) -> tuple[DataFrame, DataFrame]:
     """A1: (documents, rejected) of the files under ``root``.
 
-    The size filter reaches the scan, so an oversized file is listed but never read.
+    The size filter reaches the scan, so an oversized file is listed but never read. The scan leaves out files whose name, or a
+    folder of theirs, starts with "_" or "."; they are reported as rejected.
     """
+    base, hidden = _listing(spark, root)
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     )
-    base = F.lit(root.rstrip("/") + "/")
-    # A listed path may carry a scheme; the id starts after the last occurrence of the root.
-    relative = F.element_at(F.split(F.col("path"), F.concat(F.lit(r"\Q"), base, F.lit(r"\E")), 2), 2)
+    # Listed paths are spelled like the qualified root; a root that is itself a file is known by its name.
+    relative = F.when(F.startswith("path", F.lit(f"{base}/")), F.substr("path", F.lit(len(base) + 2))).otherwise(F.element_at(F.split("path", "/"), -1))
     named = detect_format(files.withColumn("source_id", F.lit(source_id)).withColumn("external_document_id", relative))
     small = F.col("length") <= max_bytes
     documents = with_content_hash(file_metadata(named.where(small & F.col("format").isNotNull()))).select(
         "source_id", "external_document_id", "format", "content", "content_hash", "metadata")
+    unseen = spark.createDataFrame([(source_id, name, "hidden file") for name in hidden], "source_id string, external_document_id string, violation string")
     rejected = named.drop("content").where(~small | F.col("format").isNull()).select(
         "source_id", "external_document_id",
         F.when(F.col("format").isNull(), "unsupported format").otherwise("size limit").alias("violation"))
-    return documents, rejected
+    return documents, union_all(rejected, unseen)

@@ -118,3 +118,42 @@ def test_preview_and_confirm(spark, sources, tmp_path):
     assert outcomes(report) == {"a.txt": "BUILT", "n.txt": "BUILT"}
     again, _ = P.confirm_previews(store, previews, sources, MODEL, at("2024-01-01 12:00:00"))
     assert sorted(r.state for r in again.collect()) == ["BLOCKED", "STALE", "STALE", "UNCHANGED"]
+
+
+def test_equal_copies_are_one_document(spark, sources, tmp_path):
+    store = Store(spark, str(tmp_path / "kb"))
+    batch = docs(spark, ("s1", "a.txt", "same"), ("s1", "a.txt", "same"), ("s1", "b.txt", "x"), ("s1", "b.txt", "y"))
+    report = I.ingest_batch(store, batch, sources, MODEL)
+    assert sorted((r.external_document_id, r.outcome) for r in report.collect()) == [("a.txt", "BUILT"), ("b.txt", "REJECTED"), ("b.txt", "REJECTED")]
+
+
+def test_contract_comes_before_policy(spark, sources, tmp_path):
+    store = Store(spark, str(tmp_path / "kb"))
+    I.ingest_batch(store, docs(spark, ("s2", "b.txt", "first")), sources, MODEL)
+    report = I.ingest_batch(store, docs(spark, ("s2", "b.txt", "  \n ")), sources, MODEL)
+    assert [(r.outcome, r.violation) for r in report.collect()] == [("REJECTED", "no indexable text")]
+
+
+def test_answer_routes_and_reports(spark, sources, tmp_path):
+    store = Store(spark, str(tmp_path / "kb"))
+    I.ingest_batch(store, docs(spark, ("s1", "a.txt", "red apples"), ("s2", "b.txt", "red apples too")), sources, MODEL)
+    queries = spark.createDataFrame([("1", "red apples", " s2 "), ("2", "red apples", None), ("3", " ", None), ("4", "red", "zz"), ("5", "red", " ")],
+                                    "query_id string, query string, search_source_id string")
+    contexts, violations = R.answer(queries, sources, I.knowledge_base(store), MODEL, min_score=0.1)
+    found = {(r.query_id, r.external_document_id) for r in contexts.collect()}
+    assert found == {("1", "b.txt"), ("2", "a.txt"), ("2", "b.txt")}
+    assert {(r.query_id, r.violation) for r in violations.collect()} == {("3", "blank query"), ("4", "unknown source"), ("5", "blank source")}
+    odd = spark.createDataFrame([("1", "red", "hybrid")], "query_id string, query string, profile string")
+    with pytest.raises(Exception, match="profile unknown"):
+        R.retrieve(odd, I.knowledge_base(store), MODEL, None).collect()
+
+
+def test_sections_over_the_limit_are_counted(spark):
+    from foliant.operators import chunks as D, contract as B, sections as S
+    from foliant.operators.versions import with_document_id
+
+    many = "\n".join(f"# h{i}\n\nx" for i in range(8))
+    parsed = I.parse_documents(with_document_id(docs(spark, ("s1", "a.md", many))).withColumn("document_version_id", F.lit("v")), Limits(max_sections=5))
+    sections = S.section_rows(parsed)
+    row = B.validate_structure(parsed.drop("chunk_count"), sections, D.chunk_rows(sections), Limits(max_sections=5)).first()
+    assert (row.section_count, row.violation) == (9, "too many sections")

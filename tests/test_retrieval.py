@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import context as J, evaluation as K, fusion, lexical, postings as P, routing, semantic
-from foliant.operators.embeddings import HashEmbedder
+from foliant.operators.embeddings import HashEmbedder, embed_batch
 
 
 def vectors(spark, m, sources):
@@ -30,8 +30,9 @@ def test_semantic_search_matches_numpy(spark, monkeypatch):
         order = sorted((-round(scores[q, i], 9), f"c{i:03d}") for i in range(60)
                        if scores[q, i] >= 0.1 and (not scope or "abc"[i % 3] in scope))
         want[f"q{q}"] = [c for _, c in order[:7]]
-    for block in (semantic.QUERY_BLOCK_BYTES, 200):  # one block of queries, then many
-        monkeypatch.setattr(semantic, "QUERY_BLOCK_BYTES", block)
+    for rows, held in ((semantic.QUERY_ROWS, semantic.CORPUS_BYTES), (2, 100)):  # one pass, then many small ones
+        monkeypatch.setattr(semantic, "QUERY_ROWS", rows)
+        monkeypatch.setattr(semantic, "CORPUS_BYTES", held)
         hits = semantic.semantic_search(queries, vectors(spark, corpus, "abc").repartition(5), 7, 0.1).orderBy("query_id", "rank").collect()
         got = {q: [r.chunk_id for r in hits if r.query_id == q] for q in want}
         assert got == want
@@ -124,6 +125,25 @@ def test_lexical_scope_and_limit(spark):
     assert len(got["all"]) == 2 and set(got["one"]) == {"c1", "c3", "c7"} and got["one"][0] == "c3"
 
 
+def test_negation_finds_chunks_without_tokens(spark):
+    texts = ["--- !!!", "apple pie", "pear"]
+    chunks = spark.createDataFrame([(f"c{i}", "v", "ab"[i % 2], None, t) for i, t in enumerate(texts)],
+                                   "chunk_id string, document_version_id string, source_id string, section_title string, content string")
+    queries = spark.createDataFrame([("all", "-apple", None), ("one", "-apple", ["b"]), ("none", "-pear", ["a", "zz"])], "query_id string, query string, source_ids array<string>")
+    hits = lexical.lexical_search(queries, P.build_postings(chunks), 5, None, chunks).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in hits] == [("all", "c0"), ("all", "c2"), ("none", "c0")]
+
+
+def test_model_numbers_must_be_finite(spark):
+    class Broken(HashEmbedder):
+        def embed(self, texts):
+            return np.full((len(texts), self.dimensions), np.nan)
+
+    texts = spark.createDataFrame([("f", "x")], "input_fingerprint string, embedding_text string")
+    with pytest.raises(Exception, match="not finite"):
+        embed_batch(texts, Broken(4)).collect()
+
+
 def test_backfill_indexes_only_missing_chunks(spark):
     chunks = spark.createDataFrame([("c0", "v", "s", None, "a b a"), ("c1", "v", "s", "T", "b")],
                                    "chunk_id string, document_version_id string, source_id string, section_title string, content string")
