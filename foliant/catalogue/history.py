@@ -40,7 +40,7 @@ incoming AS (SELECT source_id, ext, document_id, h FROM after UNION ALL SELECT s
 changes AS (SELECT i.source_id, i.ext, i.document_id, src.update_policy,
   CASE WHEN b.h IS NULL THEN 'NEW' WHEN b.h = i.h THEN 'UNCHANGED' ELSE 'CHANGED' END AS change_status,
   CASE WHEN b.h IS NOT NULL THEN {Q.version_uuid('i.document_id', '1')} END AS active_version_id
-  FROM incoming i JOIN src USING (source_id) LEFT JOIN before b ON i.document_id = b.document_id)"""
+  FROM incoming i LEFT JOIN src USING (source_id) LEFT JOIN before b ON i.document_id = b.document_id)"""
 
 
 def changes(spark, sf):
@@ -51,7 +51,7 @@ def changes(spark, sf):
     first = X.first_versions(X.corpus(spark, sf)).join(unlabelled, "external_document_id", "left_anti")
     active = V.active_versions(first.withColumn("status", F.lit("ACTIVE")).drop("content"))
     incoming = V.with_document_id(X.revised(spark, sf).drop("content"))
-    known = incoming.join(X.sources(spark, sf).select("source_id", "update_policy"), "source_id")
+    known = incoming.join(X.sources(spark, sf).select("source_id", "update_policy"), "source_id", "left")
     return V.detect_changes(known, active)
 
 
