@@ -20,10 +20,15 @@ from pyspark.sql import functions as F
 
 from foliant.llm.arrow import sized, texts_of
 from foliant.llm.components import components
-from foliant.session import cut_lineage
+from foliant.llm.sketches import resemblance, with_sketch
+from foliant.session import cut_lineage, union_all
 
 RADIUS = 3
-BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+#: Differing bits up to which pairs are looked at when the similarity of the texts decides, and the words of its shingles.
+WIDE_RADIUS = 5
+WIDTH = 5
+#: Blocks of a key. With three more blocks than the radius, a link leaves at least so many alone.
+AGREEING = 3
 PIVOTS = 24
 #: Fingerprints of one key that are compared in one piece; a larger key is cut into parts that are compared by twos.
 PART = 1024
@@ -68,18 +73,23 @@ def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", tex
     return rows.mapInArrow(make, f"id {kind}, fingerprint long").withColumnRenamed("id", id_column)
 
 
-def _key(value: Column, number: int, blocks: tuple[int, ...]) -> Column:
-    """The bits of three blocks side by side, under the number of their choice."""
+def blocks_of(radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of blocks of nearly equal size that cover a fingerprint."""
+    edges = [64 * i // (radius + AGREEING) for i in range(radius + AGREEING + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _key(value: Column, number: int, blocks: tuple[tuple[int, int], ...]) -> Column:
+    """The bits of some blocks side by side, under the number of their choice."""
     total = F.lit(number).cast("long")
-    for block in blocks:
-        shift, bits = BLOCKS[block]
+    for shift, bits in blocks:
         total = F.shiftleft(total, bits).bitwiseOR(F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
     return total
 
 
-def keyed(distinct: DataFrame) -> DataFrame:
-    """(key, fingerprint): every fingerprint under each of its 20 keys."""
-    choices = list(combinations(range(len(BLOCKS)), 3))
+def keyed(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(key, fingerprint): every fingerprint under each of its keys, 20 of them for the radius of links."""
+    choices = list(combinations(blocks_of(radius), AGREEING))
     keys = F.array(*[_key(F.col("fingerprint"), n, c) for n, c in enumerate(choices)])
     return distinct.select("fingerprint", F.explode(keys).alias("key"))
 
@@ -98,19 +108,19 @@ def near(values: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, ra
     return i[kept], j[kept]
 
 
-def linked_pairs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Places (i < j) of all pairs of a group within the radius. In the order of the first coordinate, partners are close by."""
     table = distance_table(values)
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0]
-    until = np.searchsorted(first, first + RADIUS, "right")  # partners of place k lie in k + 1 .. until[k] - 1
+    until = np.searchsorted(first, first + radius, "right")  # partners of place k lie in k + 1 .. until[k] - 1
     found = []
     step = max(1, (1 << 21) // max(1, len(values)))
     for a in range(0, len(values), step):
         counts = until[a:a + step] - np.arange(a, min(a + step, len(values))) - 1
         i = np.repeat(np.arange(a, a + len(counts)), counts)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
-        found.append(near(values, table, order[i], order[j]))
+        found.append(near(values, table, order[i], order[j], radius))
     i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     return np.minimum(i, j), np.maximum(i, j)
 
@@ -130,9 +140,20 @@ def forest(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(int(values[c]), int(values[parent[c]])) for c in children]
 
 
-def group_edges(values: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
+def led(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (places left < right) for each fingerprint one with a leader, that is with one that has no leader itself."""
+    order = np.lexsort((left, right))
+    leads, edges, done = np.ones(len(values), bool), [], -1
+    for i, j in zip(left[order].tolist(), right[order].tolist()):
+        if j != done and leads[i]:
+            leads[j], done = False, j
+            edges.append((int(values[j]), int(values[i])))
+    return edges
+
+
+def group_edges(values: np.ndarray, edges: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges inside groups of fingerprints that lie between consecutive ``edges``: all links of small groups, which are looked
-    at together, and spanning forests of larger ones."""
+    at together; of larger ones spanning forests, or links with leaders where a wider radius asks for links that can be judged."""
     sizes = np.diff(edges)
     group, unsigned = np.repeat(np.arange(len(sizes)), sizes), values.view(np.uint64)
     found = []
@@ -142,11 +163,11 @@ def group_edges(values: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
         table = distance_table(own)
         for gap in range(1, SMALL):
             i = np.flatnonzero(of_group[:-gap] == of_group[gap:])
-            i, j = near(own, table, i, i + gap)
+            i, j = near(own, table, i, i + gap, radius)
             found += zip(values[small[i]].tolist(), values[small[j]].tolist())
     for k in np.flatnonzero(sizes > SMALL).tolist():
         one = values[edges[k]:edges[k + 1]]
-        found += forest(one, *linked_pairs(one.view(np.uint64)))
+        found += (forest if radius == RADIUS else led)(one, *linked_pairs(one.view(np.uint64), radius))
     return found
 
 
@@ -154,13 +175,14 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): edges between distinct fingerprints whose components are those of all links within the radius.
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): edges between distinct fingerprints whose components are those of all links within the radius; for a wider radius
+    pairs within it.
 
     A key of more than PART fingerprints is cut by their hash into parts, and each two parts meet in a group of their own: no
     task gets more than two parts, and no pair is left out.
     """
-    rows = cut_lineage(keyed(distinct))
+    rows = keyed(distinct, radius)  # cheap to compute twice, and not worth a copy
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     met = rows.join(sizes.select("key", "parts"), "key").withColumn(
         "part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
@@ -176,15 +198,36 @@ def links(distinct: DataFrame) -> DataFrame:
             changes = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
             whole = len(held) if batch is None else int(changes[-1]) if len(changes) else 0
             done, held = held[:whole], held[whole:]
-            yield edge_batch(group_edges(done[:, 3].copy(), np.concatenate([[0], changes[changes < whole], [whole]])))
+            yield edge_batch(group_edges(done[:, 3].copy(), np.concatenate([[0], changes[changes < whole], [whole]]), radius))
 
     return groups.repartition("key", "x", "y").select("key", "x", "y", "fingerprint").sortWithinPartitions("key", "x", "y", "fingerprint").mapInArrow(
         join, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def similar(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose first documents share so much of their distinct five-word shingles. Only documents in
+    pairs are looked at."""
+    first = distinct.select(F.col("fingerprint"), F.col("_first"))
+    named = pairs.join(first.select(F.col("fingerprint").alias("a"), F.col("_first").alias("_a")), "a").join(
+        first.select(F.col("fingerprint").alias("b"), F.col("_first").alias("_b")), "b")
+    named = cut_lineage(named)
+    wanted = union_all(named.select(F.col("_a").alias("_id")), named.select(F.col("_b").alias("_id"))).distinct()
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(wanted, "_id", "left_semi")
+    every = 1 << 30
+    shingles = with_sketch(texts, F.col("_text"), "_set", every, WIDTH).select("_id", "_set").dropDuplicates(["_id"])
+    both = named.join(shingles.select(F.col("_id").alias("_a"), F.col("_set").alias("_set_a")), "_a").join(
+        shingles.select(F.col("_id").alias("_b"), F.col("_set").alias("_set_b")), "_b")
+    return both.where(resemblance(F.col("_set_a"), F.col("_set_b"), every) >= similarity).select("a", "b")
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text", similarity: float | None = None,
+) -> DataFrame:
     """Id, fingerprint (16 hexadecimal digits) and component_id of every row.
 
+    With ``similarity``, texts within the wider radius link as well if they share that part of their five-word shingles; an id then has to
+    belong to one text. In keys of many near fingerprints each is judged against its leader, not against all.
+
     component_id is the smallest id of all rows whose fingerprints are reachable over links; the row's own is among them.
     Repeated rows and equal texts share a fingerprint and so a component; null and empty texts have fingerprint zero and are
     linked like any other. A null id gets a component like any row but never names one, unless all ids of it are null.
@@ -193,7 +236,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "doc_id",
     made = cut_lineage(fingerprints(docs, width, id_column, text_column))
     smallest = made.groupBy("fingerprint").agg(F.min(id_column).alias("_first"))
     distinct = cut_lineage(smallest)
-    found = components(links(distinct.select("fingerprint")))
+    edges = links(distinct.select("fingerprint"))
+    if similarity is not None:
+        wide = cut_lineage(links(distinct.select("fingerprint"), WIDE_RADIUS))
+        edges = union_all(edges, similar(wide, distinct.where("_first is not null"), docs, id_column, text_column, similarity))
+    found = components(edges)
     joined = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "_first", F.coalesce("component", "fingerprint").alias("_c"))
     named = cut_lineage(joined)

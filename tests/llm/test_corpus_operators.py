@@ -213,9 +213,39 @@ def test_every_link_shares_a_key():
         x = y = r.getrandbits(64)
         for _ in range(r.randint(0, 3)):
             y ^= 1 << r.randrange(64)
-        agreeing = sum((x >> s) % (1 << n) == (y >> s) % (1 << n) for s, n in simhash.BLOCKS)
+        agreeing = sum((x >> s) % (1 << n) == (y >> s) % (1 << n) for s, n in simhash.blocks_of(3))
         assert agreeing >= 3
-    assert sum(n for _, n in simhash.BLOCKS) == 64
+    assert sum(n for _, n in simhash.blocks_of(3)) == sum(n for _, n in simhash.blocks_of(5)) == 64
+
+
+def test_similar_texts_link_beyond_the_radius(spark):
+    base = prose("en", 77, 120).split()
+    texts = [" ".join(base)]
+    for k in range(40):  # two to four words changed: most five-word shingles stay
+        r = random.Random(k)
+        edited = list(base)
+        for _ in range(r.randint(2, 4)):
+            edited[r.randrange(len(edited))] = r.choice(["x", "yy", "zzz"])
+        texts.append(" ".join(edited))
+    texts += [" ".join(base[:60] + prose("en", s, 60).split()) for s in range(5)] + [None, "", "x"]
+    docs = odd_documents(spark, texts)
+    plain = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    wide = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    assert all(wide[i] == wide[plain[i]] for i in plain)  # links are only added
+    prints = [slow_fingerprint(t) for t in texts]
+    sets = [slow_shingles(t or "") for t in texts]
+    for i in range(1, 41):
+        apart = (prints[0] ^ prints[i]).bit_count()
+        if apart <= simhash.WIDE_RADIUS and len(sets[0] & sets[i]) / len(sets[0] | sets[i]) >= 0.8:
+            assert wide[i] == 0 or apart > 3
+    assert sum(wide[i] == 0 for i in range(1, 41)) > sum(plain[i] == 0 for i in range(1, 41))
+    assert all(wide[i] == plain[i] for i in range(41, len(texts)))
+
+
+def test_leaders():
+    values = np.arange(5) * 10
+    left, right = np.array([0, 1, 0, 2, 3]), np.array([1, 2, 3, 4, 4])
+    assert simhash.led(values, left, right) == [(10, 0), (30, 0), (40, 20)]
 
 
 @pytest.mark.parametrize("n", [2, 10, 40, 400])
