@@ -64,28 +64,24 @@ class HashEmbedder:
 def ancestor_titles(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sections with ``ancestors``, the titles from the top down to the parent; violations).
 
-    A version has at most ``Limits.max_sections`` sections, so its outline is collected into one map and walked upwards.
-    A missing parent, or a chain longer than headings allow (a cycle), is a violation.
+    All sections climb together, one join by (version, section id) a level: headings have no more levels than ``MAX_DEPTH``. A missing
+    parent, a section id that occurs twice, or a chain longer than headings allow (a cycle) is a violation.
     """
-    outline = sections.groupBy("document_version_id").agg(F.collect_list(F.struct("section_id", "parent_id", "title")).alias("_s"))
-    nodes = F.map_from_entries(F.transform("_s", lambda s: F.struct(s["section_id"], F.struct(s["parent_id"], s["title"]))))
-    rows = unnest(outline.withColumn("_m", nodes), ["document_version_id", "_m"], F.col("_s"), "_s")
-
-    def up(acc: Column, _: Column) -> Column:
-        node = F.try_element_at(F.col("_m"), acc["at"])
-        title = T.strip(F.coalesce(node["title"], F.lit("")))
-        return F.struct(
-            node["parent_id"].alias("at"),
-            F.when(title != "", F.concat(F.array(title), acc["titles"])).otherwise(acc["titles"]).alias("titles"),
-            (acc["missing"] | (acc["at"].isNotNull() & node.isNull())).alias("missing"))
-
-    start = F.struct(F.col("_s.parent_id").alias("at"), F.array().cast("array<string>").alias("titles"), F.lit(False).alias("missing"))
-    walked = rows.select("document_version_id", F.col("_s.section_id").alias("section_id"), F.aggregate(
-        F.sequence(F.lit(0), F.lit(MAX_DEPTH)), start, up).alias("_w"))
-    violation = F.when(F.col("_w.missing"), "parent missing").when(F.col("_w.at").isNotNull(), "cycle")
-    done = walked.select("document_version_id", "section_id", F.col("_w.titles").alias("ancestors"), violation.alias("violation"))
-    resolved = done.where(F.col("violation").isNull()).drop("violation")
-    return resolved, done.where(F.col("violation").isNotNull()).drop("ancestors")
+    key = ["document_version_id", "_at"]
+    nodes = sections.groupBy("document_version_id", F.col("section_id").alias("_at")).agg(
+        F.min("parent_id").alias("_up"), F.min("title").alias("_title"), F.count("*").alias("_copies"))
+    walked = sections.select("document_version_id", "section_id", F.col("parent_id").alias("_at"), F.array().cast("array<string>").alias("ancestors"),
+                             F.lit(None).cast("string").alias("violation"))
+    title = T.strip(F.coalesce("_title", F.lit("")))
+    for _ in range(MAX_DEPTH + 1):
+        walked = walked.join(nodes, key, "left").select(
+            "document_version_id", "section_id", F.col("_up").alias("_at"),
+            F.when(title != "", F.concat(F.array(title), "ancestors")).otherwise(F.col("ancestors")).alias("ancestors"),
+            F.coalesce("violation", F.when(F.col("_at").isNotNull() & F.col("_copies").isNull(), "parent missing").when(
+                F.col("_copies") > 1, "repeated section id")).alias("violation"))
+    done = walked.withColumn("violation", F.coalesce("violation", F.when(F.col("_at").isNotNull(), "cycle")))
+    resolved = done.where(F.col("violation").isNull()).select("document_version_id", "section_id", "ancestors")
+    return resolved, done.where(F.col("violation").isNotNull()).select("document_version_id", "section_id", "violation")
 
 
 def compose(title_path: Column, content: Column) -> Column:
@@ -202,13 +198,14 @@ def embedding_rows(planned: DataFrame, vectors: DataFrame, stored: DataFrame, em
 
 
 def check_vectors(embeddings: DataFrame) -> DataFrame:
-    """Violations: vector length differs from the declared dimensions, or a blank identity field."""
+    """Violations: vector length differs from the declared dimensions, a number that is not finite, or a blank identity field."""
     blank = F.lit(False)
     for name in ("provider", "model", "model_revision", "processing_fingerprint"):
         blank = blank | F.col(name).isNull() | T.is_blank(F.col(name))
     found = (
         F.when(F.col("embedding").isNull() | (F.size("embedding") == 0), "empty vector")
         .when(F.size("embedding") != F.col("dimensions"), "dimension mismatch")
+        .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "number not finite")
         .when(blank, "blank identity"))
     return embeddings.select("chunk_id", found.alias("violation")).where(F.col("violation").isNotNull())
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ids
 from foliant.operators import contract, embeddings as E, postings as P, sections as S, versions as V
-from foliant.operators.chunks import chunk_fingerprint_of, chunk_rows, paragraph_chunker, with_chunks
+from foliant.operators.chunks import check_chunks, chunk_fingerprint_of, chunk_rows, paragraph_chunker, with_chunks
 from foliant.params import MAX_CHUNK_CHARACTERS, Limits
 from foliant.plans.retrieve import KnowledgeBase
 from foliant.plans.store import TABLES, Store
@@ -72,7 +72,7 @@ def _build(
     version_ids = parsed.select("document_version_id")
     rows = S.section_rows(parsed.select(
         "document_version_id", "document_id", "source_id", "external_document_id", "chunk_fingerprint", "parse_fingerprint", "sections"))
-    store.write_version_partitions("section", _as(rows, "section"), generation, version_ids)
+    sections = store.write_version_partitions("section", _as(rows, "section"), generation, version_ids)
     texts = E.input_fingerprint(E.embedding_text(chunk_rows(rows.drop("processing_fingerprint"))), embedder).withColumnRenamed(
         "chunk_fingerprint", "processing_fingerprint")
     texts = store.append("text", texts, generation)
@@ -93,7 +93,11 @@ def _build(
     embedded = store.write_version_partitions("embedding", union_all(_as(fresh, "embedding"), _as(kept, "embedding")), generation, version_ids)
 
     state = P.index_completeness(chunks, embedded)
-    complete = state.where("complete").select("document_version_id")
+    # A version whose stored rows break a rule stays incomplete.
+    broken = union_all(
+        S.check_sections(sections).select("document_version_id"), check_chunks(chunks, sections, version_ids).select("document_version_id"),
+        E.check_vectors(embedded).join(chunks.select("chunk_id", "document_version_id"), "chunk_id").select("document_version_id")).distinct()
+    complete = cut_lineage(state.where("complete").select("document_version_id").join(broken, "document_version_id", "left_anti"))
     indexable = chunks.join(complete, "document_version_id", "left_semi")
     postings = P.build_postings(indexable, embedded)
     store.write_version_partitions("posting", _as(postings, "posting"), generation, version_ids)
