@@ -40,10 +40,10 @@ def with_chunks(parsed: DataFrame, chunker: Chunker) -> DataFrame:
         "sections", F.lit(0), lambda n, s: n + F.size(s["chunks"])))
 
 
-def chunk_fingerprint_of(section_keys: Column, n: int) -> Column:
+def chunk_fingerprint_of(section_keys: Column, n: int, version: str = CHUNKER_VERSION) -> Column:
     """D7 for an ordered array of ``stable_key:content_hash`` strings."""
     lines = F.array_join(F.transform(section_keys, lambda k: F.concat(F.lit("\nsection="), k)), "")
-    return ids.sha256_text(F.concat(F.lit(f"{CHUNKER_VERSION}\nmaxCharacters={n}"), lines))
+    return ids.sha256_text(F.concat(F.lit(f"{version}\nmaxCharacters={n}"), lines))
 
 
 def chunk_fingerprint(sections: DataFrame, n: int = MAX_CHUNK_CHARACTERS) -> DataFrame:

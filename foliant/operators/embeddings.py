@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -92,16 +92,20 @@ def compose(title_path: Column, content: Column) -> Column:
     return F.when(body != "", text)
 
 
-def embedding_text(chunks: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+# A composer maps a title path and a chunk's content to the text to embed; null marks a chunk without text.
+Composer = Callable[[Column, Column], Column]
+
+
+def embedding_text(chunks: DataFrame, sections: DataFrame | None = None, composer: Composer = compose) -> DataFrame:
     """Add ``embedding_text`` to chunks; the title path comes with the chunk or from its section."""
     if sections is not None:
         chunks = chunks.drop("title_path").join(sections.select("section_id", "title_path"), "section_id")
-    return chunks.withColumn("embedding_text", compose(F.col("title_path"), F.col("content")))
+    return chunks.withColumn("embedding_text", composer(F.col("title_path"), F.col("content")))
 
 
-def input_fingerprint(df: DataFrame, embedder: Embedder) -> DataFrame:
+def input_fingerprint(df: DataFrame, embedder: Embedder, composer_version: str = COMPOSER_VERSION) -> DataFrame:
     """Add ``input_fingerprint``: SHA-256 of composer version, model identity and text."""
-    identity = (f"composer={COMPOSER_VERSION}\nprovider={embedder.provider}\nmodel={embedder.model}"
+    identity = (f"composer={composer_version}\nprovider={embedder.provider}\nmodel={embedder.model}"
                 f"\nrevision={embedder.revision}\ndimensions={embedder.dimensions}\ntext=")
     return df.withColumn("input_fingerprint", ids.sha256_text(F.concat(F.lit(identity), F.col("embedding_text"))))
 

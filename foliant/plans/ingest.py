@@ -7,24 +7,39 @@ come first, the commit last.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import ids
 from foliant.operators import contract, embeddings as E, postings as P, sections as S, versions as V
-from foliant.operators.chunks import check_chunks, chunk_fingerprint_of, chunk_rows, paragraph_chunker, with_chunks
-from foliant.params import MAX_CHUNK_CHARACTERS, Limits
+from foliant.operators.chunks import Chunker, check_chunks, chunk_fingerprint_of, chunk_rows, paragraph_chunker, with_chunks
+from foliant.params import CHUNKER_VERSION, COMPOSER_VERSION, MAX_CHUNK_CHARACTERS, Limits
 from foliant.plans.retrieve import KnowledgeBase
 from foliant.plans.store import TABLES, Store
 from foliant.session import cut_lineage, union_all
 from foliant.sources.tables import key_violation
 
 
-def parse_documents(docs: DataFrame, limits: Limits = Limits(), n: int = MAX_CHUNK_CHARACTERS) -> DataFrame:
+@dataclass(frozen=True)
+class Processing:
+    """What turns sections into chunks and chunks into the texts to embed. The versions are part of the stage fingerprints: another
+    chunker or composer needs another version, or stored results of the former one pass for its own."""
+
+    chunker: Chunker | None = None
+    chunker_version: str = CHUNKER_VERSION
+    composer: E.Composer = E.compose
+    composer_version: str = COMPOSER_VERSION
+
+
+def parse_documents(
+    docs: DataFrame, limits: Limits = Limits(), n: int = MAX_CHUNK_CHARACTERS, processing: Processing = Processing(),
+) -> DataFrame:
     """C and D in one pass without a shuffle: adds ``sections`` (with ``chunks``), counts and stage fingerprints."""
-    parsed = with_chunks(S.section_arrays(S.parse_fingerprint(S.decode_text(docs)), limits), paragraph_chunker(n))
+    parsed = with_chunks(S.section_arrays(S.parse_fingerprint(S.decode_text(docs)), limits), processing.chunker or paragraph_chunker(n))
     keys = F.transform("sections", lambda s: F.concat_ws(":", s["stable_key"], ids.sha256_text(s["content"])))
-    return parsed.drop("text").withColumn("chunk_fingerprint", chunk_fingerprint_of(keys, n))
+    return parsed.drop("text").withColumn("chunk_fingerprint", chunk_fingerprint_of(keys, n, processing.chunker_version))
 
 
 def decide(docs: DataFrame, sources: DataFrame, versions: DataFrame, limits: Limits, force: bool) -> DataFrame:
@@ -66,15 +81,15 @@ def decide(docs: DataFrame, sources: DataFrame, versions: DataFrame, limits: Lim
 
 
 def _build(
-    store: Store, parsed: DataFrame, generation: int, embedder: E.Embedder, now: Column,
+    store: Store, parsed: DataFrame, generation: int, embedder: E.Embedder, now: Column, processing: Processing,
 ) -> tuple[DataFrame, DataFrame]:
     """Stages of the versions in ``parsed``; returns (complete, incomplete) version ids from written tables."""
     version_ids = parsed.select("document_version_id")
     rows = S.section_rows(parsed.select(
         "document_version_id", "document_id", "source_id", "external_document_id", "chunk_fingerprint", "parse_fingerprint", "sections"))
     sections = store.write_version_partitions("section", _as(rows, "section"), generation, version_ids)
-    texts = E.input_fingerprint(E.embedding_text(chunk_rows(rows.drop("processing_fingerprint"))), embedder).withColumnRenamed(
-        "chunk_fingerprint", "processing_fingerprint")
+    composed = E.embedding_text(chunk_rows(rows.drop("processing_fingerprint")), composer=processing.composer)
+    texts = E.input_fingerprint(composed, embedder, processing.composer_version).withColumnRenamed("chunk_fingerprint", "processing_fingerprint")
     texts = store.append("text", texts, generation)
     chunks = store.write_version_partitions("chunk", _as(texts, "chunk"), generation, version_ids)
 
@@ -152,7 +167,7 @@ def _finish(store: Store, building: DataFrame, complete: DataFrame, incomplete:
 
 def ingest_batch(
     store: Store, docs: DataFrame, sources: DataFrame, embedder: E.Embedder, limits: Limits = Limits(),
-    n: int = MAX_CHUNK_CHARACTERS, force: bool = False, now: Column | None = None,
+    n: int = MAX_CHUNK_CHARACTERS, force: bool = False, now: Column | None = None, processing: Processing = Processing(),
 ) -> DataFrame:
     """Ingest documents (source_id, external_document_id, format, content, content_hash); returns the report.
 
@@ -167,7 +182,7 @@ def ingest_batch(
     judged = F.col("outcome").isin("BUILD", "REQUIRES_VERSION_RESOLUTION", "BUILD_IN_PROGRESS")
     parsed = parse_documents(
         decided.withColumn("_bytes", F.col("content")).withColumn("content", F.when(judged, F.col("content")).otherwise(F.lit(b""))),
-        limits, n)
+        limits, n, processing)
     broken = F.when(judged, contract.structure_violation(F.col("section_count"), F.col("chunk_count"), limits))
     parsed = (
         parsed.withColumn("violation", F.coalesce("violation", broken))
@@ -185,7 +200,7 @@ def ingest_batch(
     store.append("document", _as(fresh, "document"), generation)
     store.append("document_version", _as(wanted.withColumn("created_at", now), "document_version"), generation)
 
-    complete, incomplete = _build(store, wanted.drop("content"), generation, embedder, now)
+    complete, incomplete = _build(store, wanted.drop("content"), generation, embedder, now, processing)
     _finish(store, wanted, complete, incomplete, generation, now)
     final = store.spark.read.parquet(f"{store.root}/status_event/generation={generation}").where(
         F.col("status").isin("ACTIVE", "FAILED")).select("document_version_id", F.col("status").alias("_final"))
@@ -202,7 +217,7 @@ def ingest_batch(
 
 def resume_versions(
     store: Store, version_ids: DataFrame, embedder: E.Embedder, limits: Limits = Limits(), n: int = MAX_CHUNK_CHARACTERS,
-    now: Column | None = None,
+    now: Column | None = None, processing: Processing = Processing(),
 ) -> DataFrame:
     """Build FAILED versions again (G8 decides which may be); stored vectors with the expected fingerprint are kept.
 
@@ -214,8 +229,8 @@ def resume_versions(
     content = store.read("document_version").select("document_version_id", "content")
     keys = store.read("document").select("document_id", "source_id", "external_document_id")
     rows = chosen.join(content, "document_version_id").join(keys, "document_id")
-    parsed = store.append("parsed", parse_documents(rows, limits, n), generation)
-    complete, incomplete = _build(store, parsed, generation, embedder, now)
+    parsed = store.append("parsed", parse_documents(rows, limits, n, processing), generation)
+    complete, incomplete = _build(store, parsed, generation, embedder, now, processing)
     _finish(store, parsed, complete, incomplete, generation, now)
     store.commit(generation)
     return store.spark.read.parquet(f"{store.root}/status_event/generation={generation}")

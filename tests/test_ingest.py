@@ -157,3 +157,14 @@ def test_sections_over_the_limit_are_counted(spark):
     sections = S.section_rows(parsed)
     row = B.validate_structure(parsed.drop("chunk_count"), sections, D.chunk_rows(sections), Limits(max_sections=5)).first()
     assert (row.section_count, row.violation) == (9, "too many sections")
+
+
+def test_own_chunker_and_composer(spark, sources, tmp_path):
+    store = Store(spark, str(tmp_path / "kb"))
+    lines = I.Processing(lambda content: F.split(content, "\n"), "lines-1", lambda titles, content: F.upper(content), "upper-1")
+    batch = docs(spark, ("s1", "a.txt", "one two\nthree"))
+    I.ingest_batch(store, batch, sources, MODEL, processing=lines)
+    assert sorted(r.content for r in I.knowledge_base(store).active().chunks.collect()) == ["one two", "three"]
+    assert {r.embedding_text for r in spark.read.parquet(f"{store.root}/text/generation=1").collect()} == {"ONE TWO", "THREE"}
+    plain = I.parse_documents(batch).first().chunk_fingerprint
+    assert I.parse_documents(batch, processing=lines).first().chunk_fingerprint != plain
