@@ -16,21 +16,21 @@ from foliant.session import cut_lineage
 
 def preview_batch(
     store: Store, docs: DataFrame, sources: DataFrame, embedder: Embedder, now: Column, limits: Limits = Limits(),
-    n: int = MAX_CHUNK_CHARACTERS, min_score: float = MIN_SCORE,
+    n: int = MAX_CHUNK_CHARACTERS, min_score: float = MIN_SCORE, force: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(previews, similar materials, rejected) of incoming documents. Nothing is built.
 
     A preview keeps the bytes it was made from, so that confirming it ingests exactly those. Similar materials are not
-    searched for unchanged documents.
+    searched for unchanged documents. With ``force`` unchanged documents may be confirmed too.
     """
-    decided = decide(docs, sources, store.versions(), limits, force=False)
+    decided = decide(docs, sources, store.versions(), limits, force)
     sound = F.col("violation").isNull()
     parsed = parse_documents(
         decided.withColumn("_bytes", F.col("content")).withColumn("content", F.when(sound, F.col("content")).otherwise(F.lit(b""))), limits, n)
     broken = F.when(sound, contract.structure_violation(F.col("section_count"), F.col("chunk_count"), limits))
     parsed = cut_lineage(parsed.withColumn("violation", F.coalesce("violation", broken)).withColumn("content", F.col("_bytes")).drop("_bytes", "metadata"))
     valid = parsed.where(F.col("violation").isNull())
-    status = H.preview_status(valid.drop("document_version_id"))
+    status = H.preview_status(valid.drop("document_version_id"), force)
 
     texts = F.flatten(F.transform("sections", lambda s: s["chunks"]))
     incoming = valid.select("document_id", F.explode_outer(F.transform(texts, ids.sha256_text)).alias("content_hash"))
@@ -51,10 +51,15 @@ def preview_batch(
 
 def confirm_previews(
     store: Store, previews: DataFrame, sources: DataFrame, embedder: Embedder, now: Column, limits: Limits = Limits(),
-    n: int = MAX_CHUNK_CHARACTERS,
+    n: int = MAX_CHUNK_CHARACTERS, force: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(state of every preview, ingestion report of those that were READY and fresh)."""
-    stated = cut_lineage(H.preview_freshness(previews, V.active_versions(store.versions()), now))
+    """(state of every preview, ingestion report of those that were READY and fresh). A preview whose content has become the ACTIVE
+    version meanwhile is CONFIRMED rather than STALE."""
+    active = V.active_versions(store.versions())
+    stated = H.preview_freshness(previews, active, now).join(
+        active.select("document_id", F.col("content_hash").alias("_active_hash")), "document_id", "left")
+    stated = cut_lineage(stated.withColumn("state", F.when(
+        (F.col("state") == "STALE") & (F.col("content_hash") == F.col("_active_hash")), "CONFIRMED").otherwise(F.col("state"))).drop("_active_hash"))
     ready = stated.where("state = 'READY'").select("source_id", "external_document_id", "format", "content", "content_hash")
-    report = ingest_batch(store, ready, sources, embedder, limits, n, now=now)
+    report = ingest_batch(store, ready, sources, embedder, limits, n, force, now)
     return stated.select("preview_id", "document_id", "state"), report

@@ -117,7 +117,7 @@ def test_preview_and_confirm(spark, sources, tmp_path):
     assert sorted(r.state for r in states.collect()) == ["BLOCKED", "READY", "READY", "UNCHANGED"]
     assert outcomes(report) == {"a.txt": "BUILT", "n.txt": "BUILT"}
     again, _ = P.confirm_previews(store, previews, sources, MODEL, at("2024-01-01 12:00:00"))
-    assert sorted(r.state for r in again.collect()) == ["BLOCKED", "STALE", "STALE", "UNCHANGED"]
+    assert sorted(r.state for r in again.collect()) == ["BLOCKED", "CONFIRMED", "CONFIRMED", "UNCHANGED"]
 
 
 def test_equal_copies_are_one_document(spark, sources, tmp_path):
