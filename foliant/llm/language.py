@@ -23,9 +23,9 @@ ORDER = 4
 #: Rows of each language used for training, at most; those with the smallest hash of their id and text.
 TRAINING_ROWS = 1000
 #: A context is kept if it was seen this often.
-MIN_COUNT = 12
+MIN_COUNT = 48
 UNDETERMINED = "und"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 SEGMENT = 512
 _UNIT = 1 << 20  # code lengths are whole numbers of 1/2^20 bit
 _START = 0x0A  # every text is read as if line feeds went before it
@@ -158,7 +158,7 @@ def code_lengths(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray
     """Bits of every text under every language, and bytes of every text."""
     column = pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), "")])
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = model.classes[np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]].astype(np.int64)
+    data = model.classes[np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]].astype(np.int32)
     offsets = offsets - offsets[0]
     sizes = np.diff(offsets)
     pieces = -(-sizes // SEGMENT)
@@ -194,7 +194,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     lang_pred is the language with the shortest code, ties going to the first by name, and score its share when each language
     weighs 2^-bits. A text that is null or has no letter gets ``und``, score 0 and null bits; so do all texts if no language was learned.
     Empty texts have no letter. Repeated rows are scored each; a null id stays null; other columns are not read. Tasks hold
-    a batch of 16 MiB of text, or the longest single text.
+    a batch of 4 MiB of text, or the longest single text.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.when(has_letter(F.col(text_column)), F.col(text_column)).alias("text"))
     # Arrays only: executors need no copy of this package.
