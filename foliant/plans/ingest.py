@@ -95,8 +95,12 @@ def _build(
 
     # A chunk whose stripped text is empty cannot be embedded; its version stays incomplete.
     usable = texts.where(F.col("embedding_text").isNotNull())
-    stored = store.read("embedding")
-    active = V.active_versions(store.versions()).select("document_version_id", "document_id")
+    # Only versions of this batch and ACTIVE versions of its documents can give vectors, so the store is cut down to them first;
+    # the ids of a batch are small beside it.
+    active = V.active_versions(store.versions()).select("document_version_id", "document_id").join(
+        parsed.select("document_id").distinct(), "document_id", "left_semi")
+    stored = store.read("embedding").join(
+        union_all(version_ids, active.select("document_version_id")).distinct(), "document_version_id", "left_semi")
     donors = stored.where(
         (F.col("provider") == embedder.provider) & (F.col("model") == embedder.model)
     ).select("chunk_id", "document_version_id", "processing_fingerprint").join(active, "document_version_id")
