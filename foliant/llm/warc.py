@@ -28,12 +28,15 @@ RECORD = "record_id string, record_type string, target_uri string, refers_to str
 
 def base32_sha1(payload: Column) -> Column:
     """The SHA-1 of a binary column in base 32: eight groups of five hexadecimal digits, four letters each."""
-    digest = F.sha1(payload)
-    letters = []
-    for group in range(8):
-        bits = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(_BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
-    return F.concat(*letters)
+    def letters(digest: Column) -> Column:
+        found = []
+        for group in range(8):
+            bits = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
+            found += [F.substring(F.lit(_BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+        return F.concat(*found)
+
+    # A one-element transform binds the digest, which would else be computed for every letter.
+    return F.get(F.transform(F.array(F.sha1(payload)), letters), F.lit(0))
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
