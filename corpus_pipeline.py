@@ -19,12 +19,20 @@ from foliant.session import cut_lineage
 MOST_BITS = 8.0
 #: Share of five-word shingles from which texts are near-duplicates although their fingerprints differ in more than three bits.
 SIMILARITY = 0.8
+#: Bytes of an Arrow batch between Spark and Python workers. Each task holds several, so the default of 64 MiB fills small executors.
+ARROW_BYTES = "8m"
 
 
 def _carried(docs: DataFrame) -> DataFrame:
+    """Rows as values of one column, beside their text."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """The stages set this for the session, as they run one after another and their plans are carried out later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def _rows(found: DataFrame) -> DataFrame:
     return found.select("_row.*")
 
@@ -32,6 +40,7 @@ def _rows(found: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from these documents. Texts that are null or have no letter go, and texts that
     no language codes in fewer bits than they have."""
+    _small_batches(spark)
     model = language.train(docs, ~language.held_out())
     found = language.identify(_carried(docs), model, "_row", "text")
     return _rows(found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("bits_per_byte") < MOST_BITS)))
@@ -39,6 +48,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that reach the best grade with a chance of ``quality.KEEP`` or more; graded by the table ``labels``."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, quality.grade(F.col("quality"), F.col("toxic")))
     return _rows(quality.rate(_carried(docs), model, "_row", "text").where(F.col("p_best") >= quality.KEEP))
@@ -47,16 +57,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id, null being the largest. Of rows that are
     equal in all columns one stays."""
+    _small_batches(spark)
     keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
     found = near_duplicates(keyed.select(F.struct("_null", "_id", "_hash").alias("_key"), "text"), id_column="_key", similarity=SIMILARITY)
     stays = found.where(F.col("_key") == F.col("component_id")).select("_key.*").distinct()
     # Equal rows have equal keys, which the join has already brought together.
     copy = F.row_number().over(Window.partitionBy("_null", "_id", "_hash").orderBy("_null"))
-    return keyed.join(stays, ["_null", "_id", "_hash"]).withColumn("_copy", copy).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(stays.hint("merge"), ["_null", "_id", "_hash"]).withColumn("_copy", copy).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of at most 2048 tokens, with their ids."""
+    _small_batches(spark)
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 

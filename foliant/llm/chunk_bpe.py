@@ -22,7 +22,7 @@ from foliant.llm.arrow import lists, sized, texts_of
 from foliant.llm.words import WordEncoder, word_encoder, words_of
 
 MEAN_CHUNK = 1024
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Chunks that a task keeps before it starts afresh.
 MAX_CHUNKS = 10_000
 
@@ -142,7 +142,7 @@ def encode_documents(
     """Id, ``ids`` (array<int>) and ``decoded`` (string) of every row.
 
     A null text counts as empty and gives no ids; a null id stays null; repeated rows are encoded each; other columns are
-    not read. Tasks hold one batch of 4 MiB of text, or the longest single text.
+    not read. Tasks hold one batch of 2 MiB of text, or the longest single text.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 

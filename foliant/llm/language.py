@@ -23,7 +23,7 @@ ORDER = 4
 #: Rows of each language used for training, at most; those with the smallest hash of their id and text.
 TRAINING_ROWS = 1000
 #: A context is kept if it was seen this often.
-MIN_COUNT = 48
+MIN_COUNT = 96
 UNDETERMINED = "und"
 BATCH_BYTES = 4 << 20
 SEGMENT = 512

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from foliant.llm.arrow import sized, texts_of
 from foliant.llm.words import encode_texts, word_encoder
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Longest small piece, and windows that a group is meant to fill.
 PIECE = 256
 GROUP_WINDOWS = 64
@@ -79,7 +79,7 @@ def pack_documents(
     Every document gives its ids and ``end_id``, so a null or empty text gives that one id. Each id lies in exactly one piece,
     and the pieces of a sequence lie one after another from offset 0, at most ``capacity`` ids in all. Repeated rows are
     packed each; a null id stays null; other columns are not read. Groups form in the order of a task's rows, so nothing is
-    shuffled, and a task holds one batch of 4 MiB of text and one open group. Sequence ids are the number of the task, shifted,
+    shuffled, and a task holds one batch of 2 MiB of text and one open group. Sequence ids are the number of the task, shifted,
     plus a count; a task that runs again packs the same rows alike.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))

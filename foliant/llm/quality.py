@@ -22,7 +22,7 @@ from foliant.llm.arrow import sized, texts_of
 #: Weights; a power of two.
 BUCKETS = 1 << 20
 #: Labelled rows used for training, at most; those with the smallest hash of their id.
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 8000
 #: Characters of a word's beginning that make a feature of their own.
 STEM = 4
 #: A feature counts if so many training texts have it, and if some grade is reached more or less often among them than among all,
@@ -33,8 +33,8 @@ STEPS = 150
 PENALTY = 3e-4
 #: Texts whose chance of the best grade is below this are rejected.
 KEEP = 0.5
-BATCH_BYTES = 4 << 20
-MAX_WORDS = 400_000
+BATCH_BYTES = 2 << 20
+MAX_WORDS = 150_000
 _CAPITALS = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _SYMBOLS = b"!#$%&*+/<=>@\\^_|~"
@@ -72,7 +72,7 @@ def features(text: str, buckets: Buckets) -> np.ndarray:
     found |= {_share("capitals", count(_CAPITALS), len(raw)), _share("digits", count(_DIGITS), len(raw)),
               _share("symbols", count(_SYMBOLS), len(raw)), _share("repeated", len(words) - len(own), len(words)),
               _share("words", len(words), len(raw))}
-    return np.sort(np.fromiter(found, np.int64, len(found)))
+    return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
 @dataclass
@@ -140,12 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, grades: Column, levels: int = 3, r
         buckets = Buckets()
         for batch in sized(batches, "text", BATCH_BYTES):
             found = [features(text, buckets) for text in texts_of(batch)]
-            yield pa.record_batch([batch.column("_grade"), pa.array(found, pa.list_(pa.int64()))], ["grade", "features"])
+            yield pa.record_batch([batch.column("_grade"), pa.array(found, pa.list_(pa.int32()))], ["grade", "features"])
 
-    got = rated.mapInArrow(featured, "grade int, features array<long>").toArrow()
+    got = rated.mapInArrow(featured, "grade int, features array<int>").toArrow()
     # The order in which rows arrive is not fixed, and sums of floats depend on it.
-    rated = sorted(zip(got["grade"].to_pylist(), got["features"].to_pylist()))
-    flat = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for _, x in rated]])
+    lists = [x.values.to_numpy() for x in got["features"]]
+    rated = sorted(zip(got["grade"].to_pylist(), lists), key=lambda r: (r[0], r[1].tobytes()))
+    flat = np.concatenate([np.zeros(0, np.int32), *[x for _, x in rated]])
     return fit(np.array([g for g, _ in rated], np.int64), flat, np.array([len(x) for _, x in rated], np.int64), levels)
 
 
@@ -153,7 +154,7 @@ def rate(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     """Id, expected_grade (from 0 to the best grade) and p_best (chance of the best grade) of every row.
 
     A null or empty text is rated by the features of an empty text. Repeated rows are rated each; a null id stays null; other
-    columns are not read. Tasks hold a batch of 4 MiB of text, or the longest single text.
+    columns are not read. Tasks hold a batch of 2 MiB of text, or the longest single text.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # arrays only: executors need no copy of this package

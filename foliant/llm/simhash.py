@@ -183,8 +183,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     task gets more than two parts, and no pair is left out.
     """
     rows = keyed(distinct, radius)  # cheap to compute twice, and not worth a copy
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    met = rows.join(sizes.select("key", "parts"), "key").withColumn(
+    # Only keys to be cut are looked up: they hold over PART rows each, so there are few of them.
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART).select(
+        "key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    met = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn(
         "part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
     # The group (x, y), x <= y, gets the parts x and y; a fingerprint of part p goes into all groups that name p.
     groups = met.select("key", "fingerprint", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_other")).select(
@@ -212,7 +214,8 @@ def similar(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: s
         first.select(F.col("fingerprint").alias("b"), F.col("_first").alias("_b")), "b")
     named = cut_lineage(named)
     wanted = union_all(named.select(F.col("_a").alias("_id")), named.select(F.col("_b").alias("_id"))).distinct()
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(wanted, "_id", "left_semi")
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(
+        wanted.hint("merge"), "_id", "left_semi")  # grows with the table, so it is not broadcast however small it is
     every = 1 << 30
     shingles = with_sketch(texts, F.col("_text"), "_set", every, WIDTH).select("_id", "_set").dropDuplicates(["_id"])
     both = named.join(shingles.select(F.col("_id").alias("_a"), F.col("_set").alias("_set_a")), "_a").join(

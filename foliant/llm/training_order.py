@@ -20,7 +20,7 @@ from foliant.llm.files import attempt_name, new_folder, open_place
 from foliant.llm.words import encode_texts, word_encoder
 
 ROUNDS = 6
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 SHARD_BYTES = 32 << 20
 _HEAD = 4  # bytes before the ids of a record: how many ids are not padding
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))

@@ -13,8 +13,8 @@ import numpy as np
 
 from foliant.llm.arrow import per_process
 
-#: Words kept by one worker before it starts afresh; bounds its memory to some 150 MB.
-MAX_WORDS = 500_000
+#: Words kept by one worker before it starts afresh; bounds its memory to some 100 MB.
+MAX_WORDS = 300_000
 _GROUP = 512
 # A line is letters and punctuation that follows them, which never share a token, or any other word. No apostrophe, digit,
 # part of a special string, or letter that becomes two characters in lower case is in the first two groups.
