@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.arrow import sized, texts_of
 from foliant.llm.components import components
-from foliant.llm.sketches import resemblance, with_sketch
+from foliant.llm.sketches import with_sketch
 from foliant.session import cut_lineage, union_all
 
 RADIUS = 3
@@ -32,6 +32,8 @@ AGREEING = 3
 PIVOTS = 24
 #: Fingerprints of one key that are compared in one piece; a larger key is cut into parts that are compared by twos.
 PART = 1024
+#: Shingles of the texts that are judged in one piece.
+SET_HASHES = 1 << 20
 #: Groups up to this size pass on their links, larger ones a forest.
 SMALL = 16
 BATCH_BYTES = 4 << 20
@@ -153,7 +155,7 @@ def led(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[i
 
 def group_edges(values: np.ndarray, edges: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges inside groups of fingerprints that lie between consecutive ``edges``: all links of small groups, which are looked
-    at together; of larger ones spanning forests, or links with leaders where a wider radius asks for links that can be judged."""
+    at together; of larger ones spanning forests."""
     sizes = np.diff(edges)
     group, unsigned = np.repeat(np.arange(len(sizes)), sizes), values.view(np.uint64)
     found = []
@@ -167,7 +169,7 @@ def group_edges(values: np.ndarray, edges: np.ndarray, radius: int = RADIUS) ->
             found += zip(values[small[i]].tolist(), values[small[j]].tolist())
     for k in np.flatnonzero(sizes > SMALL).tolist():
         one = values[edges[k]:edges[k + 1]]
-        found += (forest if radius == RADIUS else led)(one, *linked_pairs(one.view(np.uint64), radius))
+        found += forest(one, *linked_pairs(one.view(np.uint64), radius))
     return found
 
 
@@ -176,8 +178,7 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): edges between distinct fingerprints whose components are those of all links within the radius; for a wider radius
-    pairs within it.
+    """(a, b): edges between distinct fingerprints whose components are those of all links within the radius.
 
     A key of more than PART fingerprints is cut by their hash into parts, and each two parts meet in a group of their own: no
     task gets more than two parts, and no pair is left out.
@@ -206,21 +207,94 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         join, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose first documents share so much of their distinct five-word shingles. Only documents in
-    pairs are looked at."""
-    first = distinct.select(F.col("fingerprint"), F.col("_first"))
-    named = pairs.join(first.select(F.col("fingerprint").alias("a"), F.col("_first").alias("_a")), "a").join(
-        first.select(F.col("fingerprint").alias("b"), F.col("_first").alias("_b")), "b")
-    named = cut_lineage(named)
-    wanted = union_all(named.select(F.col("_a").alias("_id")), named.select(F.col("_b").alias("_id"))).distinct()
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(
-        wanted.hint("merge"), "_id", "left_semi")  # grows with the table, so it is not broadcast however small it is
-    every = 1 << 30
-    shingles = with_sketch(texts, F.col("_text"), "_set", every, WIDTH).select("_id", "_set").dropDuplicates(["_id"])
-    both = named.join(shingles.select(F.col("_id").alias("_a"), F.col("_set").alias("_set_a")), "_a").join(
-        shingles.select(F.col("_id").alias("_b"), F.col("_set").alias("_set_b")), "_b")
-    return both.where(resemblance(F.col("_set_a"), F.col("_set_b"), every) >= similarity).select("a", "b")
+def judged_edges(
+    values: np.ndarray, part: np.ndarray, sets: list[np.ndarray], across: bool, similarity: float, radius: int = WIDE_RADIUS,
+) -> list[tuple[int, int]]:
+    """Places of a spanning forest of all pairs within the radius whose sets share the similarity: of pairs between two parts if
+    ``across``, of all pairs otherwise. A pair is judged unless its ends are already connected."""
+    tree, edges = np.arange(len(values)), []
+    flat = np.concatenate([np.zeros(0, np.int32), *sets])
+    names, codes = np.unique(flat, return_inverse=True)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    marked = np.zeros(len(names), bool)
+    for i in range(len(values) - 1):
+        near = np.bitwise_count(values[i + 1:] ^ values[i]) <= radius
+        near &= tree[i + 1:] != tree[i]
+        if across:
+            near &= part[i + 1:] != part[i]
+        j = np.flatnonzero(near) + i + 1
+        # No more than the smaller set can be common.
+        j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) * (1 - 1e-9)]
+        if not len(j):
+            continue
+        own = codes[ends[i] - sizes[i]:ends[i]]
+        marked[own] = True
+        before = np.cumsum(sizes[j]) - sizes[j]
+        places = np.arange(int(sizes[j].sum())) + np.repeat(ends[j] - sizes[j] - before, sizes[j])
+        held = np.concatenate([[0], np.cumsum(marked[codes[places]])])
+        common = held[before + sizes[j]] - held[before]
+        marked[own] = False
+        union = sizes[i] + sizes[j] - common
+        for k in j[np.where(union == 0, 1.0, common / np.maximum(union, 1)) >= similarity].tolist():
+            if tree[k] != tree[i]:
+                tree[tree == tree[k]] = tree[i]
+                edges.append((i, k))
+    return edges
+
+
+def judged(rows: DataFrame, clusters: DataFrame, docs: DataFrame, id_column: str, text_column: str, similarity: float) -> DataFrame:
+    """(a, b): edges between nodes whose components are those of all pairs that lie within the wide radius and share so much of their
+    distinct five-word shingles.
+
+    rows: node, fingerprint and _first, the id of the node's text; no null id. clusters: (node, component) of the fingerprints that links
+    within the wide radius connect, so each such pair lies in one cluster. Only the texts of clusters with several nodes are read.
+    A cluster is cut by hash into parts of PART nodes and SET_HASHES shingles on average, and each two parts meet in a group.
+    """
+    of = rows.join(clusters.select(F.col("node").alias("_f"), "component"), F.col("fingerprint") == F.col("_f"), "left").select(
+        "node", "fingerprint", "_first", F.coalesce("component", "fingerprint").alias("cluster"))
+    several = of.groupBy("cluster").agg(F.count("*").alias("_n")).where("_n > 1").select("cluster")
+    wanted = cut_lineage(of.join(several, "cluster"))
+    texts = docs.select(F.col(id_column).alias("_first"), F.col(text_column).alias("_text")).join(
+        wanted.select("_first").distinct().hint("merge"), "_first", "left_semi")  # grows with the table, so it is not broadcast however small it is
+    sets = with_sketch(texts, F.col("_text"), "_set", 1 << 30, WIDTH).select("_first", "_set").dropDuplicates(["_first"])
+    held = cut_lineage(wanted.join(sets, "_first").select("cluster", "node", "fingerprint", "_set"))
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("_n"), F.sum(F.size("_set")).alias("_hashes"))
+    large = sizes.select("cluster", F.greatest(F.ceil(F.col("_n") / PART), F.ceil(F.col("_hashes") / SET_HASHES)).cast("int").alias("parts")).where("parts > 1")
+    met = held.join(large, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    groups = met.select("cluster", "node", "fingerprint", "_set", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_other")).select(
+        "cluster", F.least("part", "_other").alias("x"), F.greatest("part", "_other").alias("y"), "part", "fingerprint", "node", "_set")
+
+    def judge(batches):
+        held = None  # rows of a group that the next batch may go on with
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                more = pa.Table.from_batches([batch])
+                held = more if held is None else pa.concat_tables([held, more])
+            if held is None or not held.num_rows:
+                continue
+            names = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1, [len(names)]]).tolist()
+            whole = cuts if batch is None else cuts[:-1]
+            left, right = [], []
+            for first, last in zip(whole, whole[1:]):
+                group = held.slice(first, last - first).combine_chunks()
+                lists = group.column("_set").combine_chunks()
+                flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+                shingles = [flat[s:e] for s, e in zip(offsets, offsets[1:])]
+                prints, part = (group.column(c).to_numpy() for c in ("fingerprint", "part"))
+                edges = judged_edges(prints.view(np.uint64), part, shingles, bool(names[first, 1] != names[first, 2]), similarity)
+                nodes = group.column("node").combine_chunks()
+                left.append(nodes.take(pa.array([e[0] for e in edges], pa.int64())))
+                right.append(nodes.take(pa.array([e[1] for e in edges], pa.int64())))
+            held = held.slice(whole[-1])
+            if left:
+                yield pa.record_batch([pa.concat_arrays(left), pa.concat_arrays(right)], ["a", "b"])
+
+    kind = rows.schema["node"].dataType.simpleString()
+    return groups.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "fingerprint", "node").mapInArrow(
+        judge, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(
@@ -229,7 +303,7 @@ def near_duplicates(
     """Id, fingerprint (16 hexadecimal digits) and component_id of every row.
 
     With ``similarity``, texts within the wider radius link as well if they share that part of their five-word shingles; an id then has to
-    belong to one text. In keys of many near fingerprints each is judged against its leader, not against all.
+    belong to one text, and of rows with one fingerprint the first is judged.
 
     component_id is the smallest id of all rows whose fingerprints are reachable over links; the row's own is among them.
     Repeated rows and equal texts share a fingerprint and so a component; null and empty texts have fingerprint zero and are
@@ -241,8 +315,9 @@ def near_duplicates(
     distinct = cut_lineage(smallest)
     edges = links(distinct.select("fingerprint"))
     if similarity is not None:
-        wide = cut_lineage(links(distinct.select("fingerprint"), WIDE_RADIUS))
-        edges = union_all(edges, similar(wide, distinct.where("_first is not null"), docs, id_column, text_column, similarity))
+        clusters = components(links(distinct.select("fingerprint"), WIDE_RADIUS))
+        rows = distinct.where("_first is not null").select(F.col("fingerprint").alias("node"), "fingerprint", "_first")
+        edges = union_all(edges, judged(rows, clusters, docs, id_column, text_column, similarity))
     found = components(edges)
     joined = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "_first", F.coalesce("component", "fingerprint").alias("_c"))

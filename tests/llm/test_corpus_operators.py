@@ -242,6 +242,41 @@ def test_similar_texts_link_beyond_the_radius(spark):
     assert all(wide[i] == plain[i] for i in range(41, len(texts)))
 
 
+def crowded(monkeypatch):
+    """Texts of three families whose given fingerprints all lie under the same keys, the smallest belonging to a text of its own,
+    and how many bits and which shingles two of them share."""
+    r, texts, prints = random.Random(3), [prose("de", 900, 60)], [0]
+    for k in range(60):
+        words = prose("en", 800 + k % 3, 60).split()
+        for _ in range(r.randint(0, 2)):
+            words[r.randrange(60)] = r.choice(["x", "yy", "zzz"])
+        texts.append(" ".join(words))
+        prints.append(sum(1 << b for b in r.sample(range(24), 4)))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width, id_column, text_column: docs.select(F.col(id_column), F.expr(
+        f"element_at(array({', '.join(map(str, prints))}), int({id_column}) + 1)").cast("long").alias("fingerprint")))
+    sets = [slow_shingles(t) for t in texts]
+    apart = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    return texts, apart, alike
+
+
+def slow_groups(n: int, linked) -> dict:
+    group = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j) and group[i] != group[j]:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    return dict(enumerate(group))
+
+
+@pytest.mark.parametrize("part", [8, 1024])
+def test_every_pair_of_a_large_key_is_judged(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    texts, apart, alike = crowded(monkeypatch)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(odd_documents(spark, texts), similarity=0.8).collect()}
+    assert got == slow_groups(len(texts), lambda i, j: apart(i, j) <= 3 or apart(i, j) <= 5 and alike(i, j))
+
+
 def test_leaders():
     values = np.arange(5) * 10
     left, right = np.array([0, 1, 0, 2, 3]), np.array([1, 2, 3, 4, 4])
