@@ -17,7 +17,7 @@ from foliant.session import cut_lineage
 
 #: A text that the best language's statistics code in as many bits as its raw bytes is in none of the languages.
 MOST_BITS = 8.0
-#: Share of five-word shingles from which texts are near-duplicates although their fingerprints differ in more than three bits.
+#: Share of five-word shingles from which texts with near fingerprints are near-duplicates.
 SIMILARITY = 0.8
 #: Bytes of an Arrow batch between Spark and Python workers. Each task holds several, so the default of 64 MiB fills small executors.
 ARROW_BYTES = "8m"
@@ -59,7 +59,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     equal in all columns one stays."""
     _small_batches(spark)
     keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
-    found = near_duplicates(keyed.select(F.struct("_null", "_id", "_hash").alias("_key"), "text"), id_column="_key", similarity=SIMILARITY)
+    found = near_duplicates(keyed.select(F.struct("_null", "_id", "_hash").alias("_key"), "text"), id_column="_key", similarity=SIMILARITY, verified=True)
     stays = found.where(F.col("_key") == F.col("component_id")).select("_key.*").distinct()
     # Equal rows have equal keys, which the join has already brought together.
     copy = F.row_number().over(Window.partitionBy("_null", "_id", "_hash").orderBy("_null"))

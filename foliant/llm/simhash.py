@@ -299,31 +299,39 @@ def judged(rows: DataFrame, clusters: DataFrame, docs: DataFrame, id_column: str
 
 def near_duplicates(
     docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text", similarity: float | None = None,
+    verified: bool = False,
 ) -> DataFrame:
     """Id, fingerprint (16 hexadecimal digits) and component_id of every row.
 
     With ``similarity``, texts within the wider radius link as well if they share that part of their five-word shingles; an id then has to
-    belong to one text, and of rows with one fingerprint the first is judged.
+    belong to one text, and of rows with one fingerprint the first is judged. If ``verified``, texts of other fingerprints or the same link only
+    so, whatever the distance within the wider radius, and equal texts; ids must not be null.
 
     component_id is the smallest id of all rows whose fingerprints are reachable over links; the row's own is among them.
     Repeated rows and equal texts share a fingerprint and so a component; null and empty texts have fingerprint zero and are
     linked like any other. A null id gets a component like any row but never names one, unless all ids of it are null.
     Other columns are not read.
     """
-    made = cut_lineage(fingerprints(docs, width, id_column, text_column))
-    smallest = made.groupBy("fingerprint").agg(F.min(id_column).alias("_first"))
-    distinct = cut_lineage(smallest)
-    edges = links(distinct.select("fingerprint"))
+    if verified and similarity is None:
+        raise ValueError("links are verified by a similarity")
+    if verified:  # nodes are texts
+        named = docs.select(F.struct(F.col(id_column).alias("id"), F.md5(F.coalesce(text_column, F.lit(""))).alias("node")).alias("_named"), F.col(text_column).alias("text"))
+        made = fingerprints(named, width, "_named", "text").select(F.col("_named.id").alias(id_column), "_named.node", "fingerprint")
+    else:
+        made = fingerprints(docs, width, id_column, text_column).withColumn("node", F.col("fingerprint"))
+    made = cut_lineage(made)
+    distinct = cut_lineage(made.groupBy("node").agg(F.min(id_column).alias("_first"), F.min("fingerprint").alias("fingerprint")))
+    prints = distinct.select("fingerprint").distinct()
+    edges = None if verified else links(prints)
     if similarity is not None:
-        clusters = components(links(distinct.select("fingerprint"), WIDE_RADIUS))
-        rows = distinct.where("_first is not null").select(F.col("fingerprint").alias("node"), "fingerprint", "_first")
-        edges = union_all(edges, judged(rows, clusters, docs, id_column, text_column, similarity))
-    found = components(edges)
-    joined = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "_first", F.coalesce("component", "fingerprint").alias("_c"))
-    named = cut_lineage(joined)
-    names = named.groupBy("_c").agg(F.min("_first").alias("component_id"))
-    by_fingerprint = named.join(names, "_c").select("fingerprint", "component_id")
-    # One fingerprint may hold a third of all rows; an adaptive join splits its rows.
-    return made.join(by_fingerprint, "fingerprint").select(
+        clusters = components(links(prints, WIDE_RADIUS))
+        near = judged(distinct.where("_first is not null"), clusters, docs, id_column, text_column, similarity)
+        edges = near if edges is None else union_all(edges, near)
+    found = components(edges).select(F.col("node").alias("_node"), "component")
+    joined = distinct.join(found, F.col("node") == F.col("_node"), "left").select("node", "_first", F.coalesce("component", "node").alias("_c"))
+    linked = cut_lineage(joined)
+    names = linked.groupBy("_c").agg(F.min("_first").alias("component_id"))
+    by_node = linked.join(names, "_c").select("node", "component_id")
+    # One node may hold a third of all rows; an adaptive join splits its rows.
+    return made.join(by_node, "node").select(
         id_column, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -242,7 +242,7 @@ def test_similar_texts_link_beyond_the_radius(spark):
     assert all(wide[i] == plain[i] for i in range(41, len(texts)))
 
 
-def crowded(monkeypatch):
+def crowded(monkeypatch, shared=False):
     """Texts of three families whose given fingerprints all lie under the same keys, the smallest belonging to a text of its own,
     and how many bits and which shingles two of them share."""
     r, texts, prints = random.Random(3), [prose("de", 900, 60)], [0]
@@ -250,10 +250,12 @@ def crowded(monkeypatch):
         words = prose("en", 800 + k % 3, 60).split()
         for _ in range(r.randint(0, 2)):
             words[r.randrange(60)] = r.choice(["x", "yy", "zzz"])
-        texts.append(" ".join(words))
+        texts.append(" ".join([*words, f"w{k}"]))  # equal texts would have equal fingerprints
         prints.append(sum(1 << b for b in r.sample(range(24), 4)))
+    if shared:  # equal fingerprints of equal and of other texts
+        texts, prints = texts + [texts[0] + " x", texts[1], prose("fr", 7)], prints + [prints[1], prints[1], prints[2]]
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, width, id_column, text_column: docs.select(F.col(id_column), F.expr(
-        f"element_at(array({', '.join(map(str, prints))}), int({id_column}) + 1)").cast("long").alias("fingerprint")))
+        f"element_at(array({', '.join(map(str, prints))}), int({'_named.id' if id_column == '_named' else id_column}) + 1)").cast("long").alias("fingerprint")))
     sets = [slow_shingles(t) for t in texts]
     apart = lambda i, j: (prints[i] ^ prints[j]).bit_count()
     alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
@@ -277,6 +279,29 @@ def test_every_pair_of_a_large_key_is_judged(spark, monkeypatch, part):
     assert got == slow_groups(len(texts), lambda i, j: apart(i, j) <= 3 or apart(i, j) <= 5 and alike(i, j))
 
 
+@pytest.mark.parametrize("part", [8, 1024])
+def test_verified_links(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    texts, apart, alike = crowded(monkeypatch, shared=True)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(odd_documents(spark, texts), similarity=0.8, verified=True).collect()}
+    assert got == slow_groups(len(texts), lambda i, j: apart(i, j) <= 5 and alike(i, j))
+
+
+def test_stage_keeps_texts_that_are_near_by_fingerprint_only(spark, tmp_path):
+    base = prose("en", 3, 120).split()
+    texts = [" ".join(base)]
+    for k in range(300):
+        r, edited = random.Random(k), list(base)
+        for i in r.sample(range(10, 110, 10), 4):
+            edited[i] = r.choice(["x", "yy", "zzz"])
+        texts.append(" ".join(edited))
+    sets = [slow_shingles(t) for t in texts]
+    prints = [slow_fingerprint(t) for t in texts]
+    i, j = next((i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3 and len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]))
+    docs = odd_documents(spark, [texts[i], texts[j], "", None, texts[i]])
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()) == [0, 1, 2]
+
+
 def test_leaders():
     values = np.arange(5) * 10
     left, right = np.array([0, 1, 0, 2, 3]), np.array([1, 2, 3, 4, 4])
