@@ -321,7 +321,8 @@ def near_duplicates(
         made = fingerprints(docs, width, id_column, text_column).withColumn("node", F.col("fingerprint"))
     made = cut_lineage(made)
     distinct = cut_lineage(made.groupBy("node").agg(F.min(id_column).alias("_first"), F.min("fingerprint").alias("fingerprint")))
-    prints = distinct.select("fingerprint").distinct()
+    prints = distinct.select("fingerprint")
+    prints = prints.distinct() if verified else prints
     edges = None if verified else links(prints)
     if similarity is not None:
         clusters = components(links(prints, WIDE_RADIUS))
