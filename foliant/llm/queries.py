@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import fill_middle, language, quality, warc
+from foliant.llm.best_fit import best_fit
 from foliant.llm.chunk_bpe import encode_documents
-from foliant.llm import language, quality, warc
 from foliant.llm.packing import pack_documents
 from foliant.llm.pivot_topk import topk
 from foliant.llm.registry import ORACLES, QUERIES, query, table
@@ -14,6 +15,7 @@ from foliant.llm.simhash import near_duplicates
 from foliant.llm.sketches import edited_fingerprints, resemblance, sketch_text
 from foliant.llm.token_counts import token_counts
 from foliant.llm.training_order import read_shards, training_order
+from foliant.llm.vector_codes import vector_codes
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -112,3 +114,55 @@ def op9_sketches(spark: SparkSession, sf: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = pack_documents(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op11_fill_middle", """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+d AS (
+  SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+    CASE WHEN len(u) = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1:n], '') AS suf FROM d)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+""")
+def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.with_digests(fill_middle.fill_middle_documents(table(spark, sf, "documents")))
+
+
+_NEAREST = """SELECT v.vec_id, v.p, any_value(v.x) AS x, min(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + c.e) AS k
+  FROM parts v JOIN {books} c USING (p) GROUP BY v.vec_id, v.p"""
+_MEANS = """SELECT c.p, c.e, CASE WHEN m.p IS NULL THEN c.x ELSE m.x END AS x FROM {books} c LEFT JOIN (
+  SELECT p, e, list(mean ORDER BY i) AS x FROM (
+    SELECT p, k % 64 AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS mean FROM (SELECT p, k, x, unnest(range(1, len(x) + 1)) AS i FROM {nearest}) GROUP BY p, e, i) GROUP BY p, e) m
+  ON c.p = m.p AND c.e = m.e"""
+
+
+@query("op12_vector_codes", f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, q[p * (len(q) // 16) + 1:(p + 1) * (len(q) // 16)] AS x FROM kept, range(16) r(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+c0 AS (SELECT p, e, x FROM parts JOIN firsts USING (vec_id)),
+a0 AS MATERIALIZED ({_NEAREST.format(books="c0")}),
+c1 AS MATERIALIZED ({_MEANS.format(books="c0", nearest="a0")}),
+a1 AS MATERIALIZED ({_NEAREST.format(books="c1")}),
+c2 AS MATERIALIZED ({_MEANS.format(books="c1", nearest="a1")}),
+a2 AS MATERIALIZED ({_NEAREST.format(books="c2")}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', (k % 64)::INTEGER), '' ORDER BY p) AS code, sum(k // 64)::BIGINT AS error FROM a2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books
+""")
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes(table(spark, sf, "embeddings"))
+
+
+@query("op13_best_fit")
+def op13_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return best_fit(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1).drop("ids")
