@@ -13,8 +13,8 @@ import numpy as np
 
 from foliant.llm.arrow import per_process
 
-#: Words kept by one worker before it starts afresh; bounds its memory to some 100 MB.
-MAX_WORDS = 300_000
+#: Words kept by one worker before it starts afresh; bounds its memory to some 300 MB.
+MAX_WORDS = 1_000_000
 _GROUP = 512
 # A line is letters and punctuation that follows them, which never share a token, or any other word. No apostrophe, digit,
 # part of a special string, or letter that becomes two characters in lower case is in the first two groups.
@@ -115,6 +115,7 @@ class WordEncoder:
         if not fresh:
             return
         cores, tails, others = zip(*_LINE.findall("\n".join(fresh)), strict=True)
+        cores = "\n".join(cores).lower().split("\n")  # as the normaliser does to these letters, each of which stays one
         parts = np.zeros((len(fresh), 3), np.int64)
         for column, words in enumerate((cores, tails, others)):
             parts[:, column] = np.fromiter(map(self.cores.__getitem__, words), np.int64, len(words))
