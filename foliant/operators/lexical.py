@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,27 +69,47 @@ def _asked(queries: DataFrame) -> DataFrame:
         (F.col("source_ids") if "source_ids" in queries.columns else F.lit(None).cast("array<string>")).alias("source_ids"))
 
 
-def _matches(asked: DataFrame, postings: DataFrame, stats: DataFrame | None) -> DataFrame:
-    flat = unnest(
+def query_terms(asked: DataFrame) -> DataFrame:
+    """(query_id, grp, negated, term): every term of the asked queries."""
+    return unnest(
         unnest(asked, ["query_id"], F.col("atoms"), "a"), ["query_id", "a.grp", "a.negated"], F.col("a.terms"), "term")
-    used = flat.select("term").distinct()
+
+
+def driving_terms(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query_id, term): the rarest positive term of each alternative, by ``counts`` (term, n); unknown terms are the rarest."""
+    return terms.where(~F.col("negated")).join(counts, "term", "left").groupBy("query_id", "grp").agg(
+        F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), F.col("term"))).alias("term")).select("query_id", "term").distinct()
+
+
+def in_scope() -> Column:
+    """The row's source is one that its query asks for."""
+    return F.coalesce(F.size("source_ids") <= 0, F.lit(True)) | F.array_contains("source_ids", F.col("source_id"))
+
+
+def probes(proposed: DataFrame, *keep: str) -> DataFrame:
+    """One row per proposed (query_id, chunk_id) and query term, to be looked up among the postings."""
+    return unnest(
+        unnest(proposed, ["query_id", "chunk_id", *keep], F.col("atoms"), "a"),
+        ["query_id", "chunk_id", *keep, "a.grp", "a.atom", "a.negated", F.size("a.terms").alias("n_terms")], F.col("a.terms"), "term", "offset")
+
+
+def _matches(asked: DataFrame, postings: DataFrame, stats: DataFrame | None) -> DataFrame:
+    terms = query_terms(asked)
+    used = terms.select("term").distinct()
     relevant = postings.join(used, "term", "left_semi")
     counts = (stats if stats is not None else term_stats(relevant)).join(used, "term", "left_semi")
-
-    rarest = flat.where(~F.col("negated")).join(counts, "term", "left").groupBy("query_id", "grp").agg(
-        F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), F.col("term"))).alias("term"))
-    drivers = rarest.select("query_id", "term").distinct().join(asked, "query_id")
+    drivers = driving_terms(terms, counts).join(asked, "query_id")
     proposed = salted_join(
         relevant.select("term", "chunk_id", "source_id"), drivers, "term", F.col("chunk_id"), counts
-    ).where(
-        F.coalesce(F.size("source_ids") <= 0, F.lit(True)) | F.array_contains("source_ids", F.col("source_id"))
-    ).dropDuplicates(["query_id", "chunk_id"])
+    ).where(in_scope()).dropDuplicates(["query_id", "chunk_id"])
+    return score_located(probes(proposed).join(relevant.select("term", "chunk_id", "positions"), ["chunk_id", "term"]), asked)
+
 
-    probes = unnest(
-        unnest(proposed, ["query_id", "chunk_id"], F.col("atoms"), "a"),
-        ["query_id", "chunk_id", "a.grp", "a.atom", "a.negated", F.size("a.terms").alias("n_terms")], F.col("a.terms"), "term", "offset")
+def score_located(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of the proposed pairs in which an alternative holds. ``found``: probes with the positions of their
+    terms in the chunk."""
     # One shuffle by (query, chunk) serves both groupings below.
-    located = probes.join(relevant.select("term", "chunk_id", "positions"), ["chunk_id", "term"]).repartition("query_id", "chunk_id")
+    located = found.repartition("query_id", "chunk_id")
     atoms = located.groupBy("query_id", "chunk_id", "grp", "atom", "negated", "n_terms").agg(
         F.collect_list(F.struct("offset", "positions")).alias("parts"))
     shifted = F.transform("parts", lambda p: F.transform(p["positions"], lambda e: e["pos"] - p["offset"]))
@@ -98,9 +120,9 @@ def _matches(asked: DataFrame, postings: DataFrame, stats: DataFrame | None) ->
     coded = F.transform(F.flatten("parts.positions"), lambda e: e["pos"] * 2 + (e["w"] == "A").cast("int"))
     placed = atoms.select("query_id", "chunk_id", F.struct(
         "grp", "atom", "negated", "n_terms", starts.alias("starts"), coded.alias("codes")).alias("a"))
-    found = placed.groupBy("query_id", "chunk_id").agg(F.collect_list("a").alias("found"))
+    together = placed.groupBy("query_id", "chunk_id").agg(F.collect_list("a").alias("found"))
     needed = asked.select("query_id", F.filter("atoms", lambda a: ~a["negated"])["grp"].alias("_needed"))
-    return _rank(found.join(needed, "query_id"))
+    return _rank(together.join(needed, "query_id"))
 
 
 def _rank(found: DataFrame) -> DataFrame:
@@ -178,12 +200,12 @@ _EVERYWHERE = "\0"
 _SPAN = 4096
 
 
-def _open_matches(asked: DataFrame, postings: DataFrame, k: int, chunks: DataFrame | None) -> DataFrame | None:
+def _open_matches(asked: DataFrame, matcher: Callable[[DataFrame], DataFrame], named: DataFrame, k: int) -> DataFrame | None:
     """Matches of alternatives that only negate: the k lowest chunk ids without the negated atoms, at score 0.
 
     Chunks are numbered by id within their source, and once more over all sources for queries without a restriction. If m
     chunks of a source are excluded for a query, its first k others lie among the source's first k + m, so only those
-    numbers are joined. ``chunks`` (chunk_id, source_id) also names chunks without any token; without it the postings name them.
+    numbers are joined. ``named``: chunk_id and source_id of all chunks, once or more often.
     """
     negative = unnest(asked, ["query_id", "source_ids", "atoms"], F.array_distinct("atoms.grp"), "grp").where(
         ~F.exists("atoms", lambda a: (a["grp"] == F.col("grp")) & ~a["negated"]))
@@ -193,9 +215,9 @@ def _open_matches(asked: DataFrame, postings: DataFrame, k: int, chunks: DataFra
         i.alias("grp"), i.alias("atom"), F.lit(False).alias("negated"), a["terms"].alias("terms")))
     open_queries = negative.select(
         F.concat_ws("\n", "query_id", F.col("grp").cast("string")).alias("query_id"), F.col("query_id").alias("_asker"), "source_ids", barred.alias("atoms"))
-    named = (postings if chunks is None else chunks).select("chunk_id", "source_id").distinct()
+    named = named.select("chunk_id", "source_id").distinct()
     numbered = number_rows(union_all(named, named.withColumn("source_id", F.lit(_EVERYWHERE))), ["source_id"], ["chunk_id"], "_n")
-    excluded = cut_lineage(_matches(open_queries.select("query_id", "atoms", "source_ids"), postings, None).select("query_id", "chunk_id"))
+    excluded = cut_lineage(matcher(open_queries.select("query_id", "atoms", "source_ids")).select("query_id", "chunk_id"))
     sizes = numbered.groupBy("source_id").agg(F.max("_n").alias("_size"))
     scope = F.when(F.size("source_ids") > 0, F.array_distinct("source_ids")).otherwise(F.array(F.lit(_EVERYWHERE)))
     wanted = unnest(open_queries, ["query_id", "_asker"], scope, "source_id").join(sizes, "source_id")
@@ -212,9 +234,14 @@ def _open_matches(asked: DataFrame, postings: DataFrame, k: int, chunks: DataFra
 def lexical_search(queries: DataFrame, postings: DataFrame, k: int, stats: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """The k best matches per query by score, then chunk id, with their rank. ``chunks`` names the chunks that queries which only
     negate may find; without it chunks that hold no token are unknown."""
+    return best_matches(queries, lambda asked: _matches(asked, postings, stats), postings if chunks is None else chunks, k)
+
+
+def best_matches(queries: DataFrame, matcher: Callable[[DataFrame], DataFrame], named: DataFrame, k: int) -> DataFrame:
+    """The k best of all matches. ``matcher`` gives (query_id, chunk_id, score) of asked queries, however it finds them."""
     asked = _asked(queries)
-    matches = _matches(asked, postings, stats)
-    negative = _open_matches(asked, postings, k, chunks)
+    matches = matcher(asked)
+    negative = _open_matches(asked, matcher, named, k)
     if negative is not None:
         matches = union_all(matches, negative).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     hits = top_k(matches, "query_id", [F.desc("score"), F.asc("chunk_id")], k)

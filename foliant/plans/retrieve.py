@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ STRATEGIES = ("CHUNK_ONLY", "SECTION_IF_SMALL", "NEIGHBOR_CHUNKS")
 
 @dataclass(frozen=True)
 class KnowledgeBase:
-    """The tables a search reads. ``versions`` is None when the tables hold ACTIVE versions only."""
+    """The tables a search reads. ``versions`` is None when the tables hold ACTIVE versions only. ``text_search`` finds the k best
+    chunks of queries in another way than by ``postings``, over the same chunks."""
 
     sections: DataFrame
     chunks: DataFrame
@@ -31,6 +33,7 @@ class KnowledgeBase:
     postings: DataFrame
     versions: DataFrame | None = None
     stats: DataFrame | None = None
+    text_search: Callable[[DataFrame, int], DataFrame] | None = None
 
     def active(self) -> "KnowledgeBase":
         """Only rows of ACTIVE versions. Every table carries the version id, so each needs one semi-join."""
@@ -39,12 +42,12 @@ class KnowledgeBase:
         ids = V.active_versions(self.versions).select("document_version_id")
         keep = lambda df: df.join(ids, "document_version_id", "left_semi")
         return replace(self, sections=keep(self.sections), chunks=keep(self.chunks), embeddings=keep(self.embeddings),
-                       postings=keep(self.postings), versions=None, stats=None)
+                       postings=keep(self.postings), versions=None, stats=None, text_search=None)
 
     def within_sources(self, sources: DataFrame) -> "KnowledgeBase":
         """Only rows of the given sources, for searches over all configured sources."""
         keep = lambda df: df.join(sources.select("source_id").distinct(), "source_id", "left_semi")
-        return replace(self, chunks=keep(self.chunks), embeddings=keep(self.embeddings), postings=keep(self.postings), stats=None)
+        return replace(self, chunks=keep(self.chunks), embeddings=keep(self.embeddings), postings=keep(self.postings), stats=None, text_search=None)
 
 
 def attach(hits: DataFrame, chunks: DataFrame, *extra: str) -> DataFrame:
@@ -61,7 +64,7 @@ def _semantic(queries: DataFrame, kb: KnowledgeBase, embedder: Embedder, k: int,
 def hybrid_ids(queries: DataFrame, kb: KnowledgeBase, embedder: Embedder, k: int, min_score: float = MIN_SCORE) -> DataFrame:
     """Semantic and lexical search with the same limit, fused; ids only."""
     vector = _semantic(queries, kb, embedder, k, min_score)
-    text = lexical.lexical_search(queries, kb.postings, k, kb.stats, kb.chunks)
+    text = kb.text_search(queries, k) if kb.text_search else lexical.lexical_search(queries, kb.postings, k, kb.stats, kb.chunks)
     return fusion.rrf_fuse([vector.select("query_id", "chunk_id", "rank"), text.select("query_id", "chunk_id", "rank")], k)
 
 

@@ -106,7 +106,7 @@ class Store:
             1).write.mode("append").parquet(self._path("commit"))
         self.refresh()
 
-    def _all(self, table: str) -> DataFrame:
+    def with_generation(self, table: str) -> DataFrame:
         """Rows of committed generations with their ``generation``; the filter prunes partitions."""
         schema = TABLES[table]
         committed = self.commits()
@@ -117,10 +117,10 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         """The visible rows of a table."""
-        rows = self._all(table)
+        rows = self.with_generation(table)
         if table not in VERSIONED:
             return rows.drop("generation")
-        written = self._all("manifest").where(F.col("table_name") == table)
+        written = self.with_generation("manifest").where(F.col("table_name") == table)
         # Versions written more than once are few, so the superseded pairs are a small anti-join side in most stores.
         latest = written.groupBy("document_version_id").agg(F.max("generation").alias("_latest"), F.count("*").alias("_n")).where(
             "_n > 1").drop("_n")
