@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the query modules."""
-    from foliant.catalogue import building, documents, history, searching  # noqa: F401
+    from foliant.catalogue import building, documents, history, searching, stored  # noqa: F401

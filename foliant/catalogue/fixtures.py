@@ -38,19 +38,23 @@ def corpus(spark: SparkSession, sf: str, paragraphs: bool = False) -> DataFrame:
 
 
 def revised(spark: SparkSession, sf: str, paragraphs: bool = False) -> DataFrame:
-    """V2: the next revision of V1, edited by language: en the same bytes, fr without the first line, de with a line
-    more, es with the lines reversed; and every conversation as a new document."""
+    """V2: the next revision of V1, and every conversation as a new document."""
+    return union_all(edited(spark, sf, paragraphs), conversations(spark, sf))
+
+
+def edited(spark: SparkSession, sf: str, paragraphs: bool = False) -> DataFrame:
+    """The next revision of V1, edited by language: en the same bytes, fr without the first line, de with a line more, es with the
+    lines reversed."""
     lines = F.split("text", "\n", -1)
-    edited = (
+    changed = (
         F.when(F.col("lang") == "fr", F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n"))
         .when(F.col("lang") == "de", F.concat(F.col("text"), F.lit("\nAdded closing line.")))
         .when(F.col("lang") == "es", F.array_join(F.reverse(lines), "\n"))
         .otherwise(F.col("text")))
-    text = F.replace(edited, F.lit("\n"), F.lit("\n\n")) if paragraphs else edited
-    old = _documents(texts(spark, sf, "documents").select(
+    text = F.replace(changed, F.lit("\n"), F.lit("\n\n")) if paragraphs else changed
+    return _documents(texts(spark, sf, "documents").select(
         F.col("source").alias("source_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("external_document_id"),
         F.lit("TEXT").alias("format"), text.alias("text")))
-    return union_all(old, conversations(spark, sf))
 
 
 def conversations(spark: SparkSession, sf: str, fenced: bool = False) -> DataFrame:

@@ -97,8 +97,8 @@ def boolean_matches(spark, sf):
     return lexical.lexical_matches(queries, X.whole_document_postings(spark, sf)).select("query_id", "chunk_id")
 
 
-_ROUTED = """
-ask AS (SELECT event_id, 'Show' || event_type || 'Nation of src' || user_id || ' documents' AS query FROM events),
+# Sources of the questions `ask` (event_id, query).
+ROUTING = """
 srcs AS (SELECT 'src' || n_nationkey AS source_id, 'LOCAL_FILE' AS source_type, n_name AS name, 'Documents about ' || r_name AS description
   FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'EUROPE'
   UNION ALL SELECT 'conversations', 'LOCAL_FILE', 'conversations', 'Recorded talks'),
@@ -108,6 +108,8 @@ ft AS (SELECT source_id, w, unnest(list_distinct(regexp_extract_all(lower(regexp
 qt AS (SELECT event_id, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(query, '([\\p{Ll}\\d])(\\p{Lu})', '\\1 \\2', 'g')), '[\\p{L}\\p{N}]+'))) AS token FROM ask),
 sc AS (SELECT event_id, source_id, sum(w)::BIGINT AS score FROM qt JOIN ft USING (token) WHERE len(token) >= 3 GROUP BY ALL HAVING sum(w) >= 3),
 routed AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, source_id) AS rank FROM sc QUALIFY rank <= 3)"""
+_ROUTED = f"""
+ask AS (SELECT event_id, 'Show' || event_type || 'Nation of src' || user_id || ' documents' AS query FROM events),{ROUTING}"""
 
 
 def questions(spark, sf):
@@ -206,24 +208,24 @@ def rerank(spark, sf):
 
 
 # Profiles over V1: hashed token vectors of 64 dimensions and all-word queries, on 2400-character chunks.
-def _vector(source: str, key: str, text: str, name: str) -> str:
+def vector_sql(source: str, key: str, text: str, name: str) -> str:
     return f"""
 {name}_t AS (SELECT {key} AS k, unnest({Q.tokens(text)}) AS term FROM {source}),
 {name}_d AS (SELECT k, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS d, count(*) AS c FROM {name}_t GROUP BY ALL),
 {name}_v AS (SELECT k, d, c / sqrt(sum(c * c) OVER (PARTITION BY k)) AS x FROM {name}_d)"""
 
 
-_SEARCH = f"""{Q.V1_CHUNKS},{Q.lexical('c1')},{_vector('benchmark', 'item_id::VARCHAR', 'text', 'bq')},{_vector('c1', 'chunk_id', 'content', 'bc')},
+_SEARCH = f"""{Q.V1_CHUNKS},{Q.lexical('c1')},{vector_sql('benchmark', 'item_id::VARCHAR', 'text', 'bq')},{vector_sql('c1', 'chunk_id', 'content', 'bc')},
 cos AS (SELECT q.k AS query_id, c.k AS chunk_id, sum(q.x * c.x) AS score FROM bq_v q JOIN bc_v c USING (d) GROUP BY ALL)"""
 
 
-def _top(source: str, k: int, where: str = "true") -> str:
+def top_sql(source: str, k: int, where: str = "true") -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, chunk_id) AS rank FROM {source} WHERE {where} QUALIFY rank <= {k})"
 
 
-def _fused(k: int) -> str:
+def fused_sql(k: int) -> str:
     return f"""(SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (
-  SELECT query_id, chunk_id, rank FROM {_top('cos', k, 'score >= 0.35')} UNION ALL SELECT query_id, chunk_id, rank FROM {_top('lex', k)}) GROUP BY ALL)"""
+  SELECT query_id, chunk_id, rank FROM {top_sql('cos', k, 'score >= 0.35')} UNION ALL SELECT query_id, chunk_id, rank FROM {top_sql('lex', k)}) GROUP BY ALL)"""
 
 
 def search(spark, sf, profile, k=5):
@@ -232,38 +234,38 @@ def search(spark, sf, profile, k=5):
     return R.retrieve(queries, base, MODEL, profile, SCORER, k)
 
 
-def _hits(df):
+def hit_rows(df):
     return df.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "document_id", "source_id", "external_document_id", F.round("score", 5).alias("score"))
 
 
 @query("retrieve_simple", f"""
 WITH RECURSIVE {_SEARCH.lstrip()}
 SELECT query_id, rank, chunk_id, document_id, source_id, ext AS external_document_id, round(score, 5) AS score
-FROM {_top('cos', 5, 'score >= 0.35')} JOIN c1 USING (chunk_id)""")
+FROM {top_sql('cos', 5, 'score >= 0.35')} JOIN c1 USING (chunk_id)""")
 def retrieve_simple(spark, sf):
-    return _hits(search(spark, sf, "SIMPLE"))
+    return hit_rows(search(spark, sf, "SIMPLE"))
 
 
 @query("retrieve_hybrid", f"""
 WITH RECURSIVE {_SEARCH.lstrip()}
 SELECT query_id, rank, chunk_id, document_id, source_id, ext AS external_document_id, round(score, 5) AS score
-FROM {_top(_fused(5), 5)} JOIN c1 USING (chunk_id)""")
+FROM {top_sql(fused_sql(5), 5)} JOIN c1 USING (chunk_id)""")
 def retrieve_hybrid(spark, sf):
-    return _hits(search(spark, sf, "HYBRID"))
+    return hit_rows(search(spark, sf, "HYBRID"))
 
 
 @query("retrieve_advanced", f"""
 WITH RECURSIVE {_SEARCH.lstrip()},
 cand AS (SELECT f.query_id, f.chunk_id, len(list_intersect(list_distinct({Q.tokens('b.text')}), list_distinct({Q.tokens('c1.content')})))::DOUBLE / len(list_distinct({Q.tokens('b.text')})) AS score
-  FROM {_top(_fused(20), 20)} f JOIN c1 USING (chunk_id) JOIN benchmark b ON b.item_id::VARCHAR = f.query_id)
-SELECT query_id, rank, chunk_id, document_id, source_id, ext AS external_document_id, round(score, 5) AS score FROM {_top('cand', 5)} JOIN c1 USING (chunk_id)""")
+  FROM {top_sql(fused_sql(20), 20)} f JOIN c1 USING (chunk_id) JOIN benchmark b ON b.item_id::VARCHAR = f.query_id)
+SELECT query_id, rank, chunk_id, document_id, source_id, ext AS external_document_id, round(score, 5) AS score FROM {top_sql('cand', 5)} JOIN c1 USING (chunk_id)""")
 def retrieve_advanced(spark, sf):
-    return _hits(search(spark, sf, "ADVANCED"))
+    return hit_rows(search(spark, sf, "ADVANCED"))
 
 
 @query("hybrid_context", f"""
 WITH RECURSIVE {_SEARCH.lstrip()},
-h AS (SELECT t.query_id, t.rank, t.chunk_id, t.score, section_id, idx, source_id, ext FROM {_top(_fused(5), 5)} t JOIN c1 USING (chunk_id))
+h AS (SELECT t.query_id, t.rank, t.chunk_id, t.score, section_id, idx, source_id, ext FROM {top_sql(fused_sql(5), 5)} t JOIN c1 USING (chunk_id))
 SELECT h.query_id, h.rank, h.chunk_id AS origin_chunk_id, 'WINDOW' AS scope, h.source_id, h.ext AS external_document_id,
   string_agg(n.content, chr(10) || chr(10) ORDER BY n.idx) AS content, string_agg(n.chunk_id, ' ' ORDER BY n.idx) AS included
 FROM h JOIN c1 n ON n.section_id = h.section_id AND n.idx BETWEEN h.idx - 1 AND h.idx + 1 GROUP BY ALL""")
