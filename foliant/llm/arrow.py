@@ -14,7 +14,9 @@ BATCH_BYTES = 8 << 20
 
 
 def sized(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of ``column``; a row over the limit is a batch of its own."""
+    """The same rows in batches of at most ``limit`` bytes of ``column``; a row over the limit is a batch of its own. Workers outlive tasks,
+    so the memory of earlier batches that Arrow keeps for reuse is given back first."""
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, first = np.cumsum(sizes, dtype=np.int64), 0

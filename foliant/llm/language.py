@@ -18,16 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.arrow import sized
+from foliant.session import cut_lineage, union_all
 
 ORDER = 4
 #: Rows of each language used for training, at most; those with the smallest hash of their id and text.
 TRAINING_ROWS = 1000
 #: A context is kept if it was seen this often.
-MIN_COUNT = 96
+MIN_COUNT = 12
 UNDETERMINED = "und"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 SEGMENT = 512
 _UNIT = 1 << 20  # code lengths are whole numbers of 1/2^20 bit
+_MOST = 2 ** 63 - 1  # the largest hash
 _START = 0x0A  # every text is read as if line feeds went before it
 
 
@@ -36,18 +38,32 @@ def has_letter(text: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, allowed: Column, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(lang, text): for each language the allowed rows with the smallest hashes, ``rows`` at most."""
+    """(lang, text): for each language the allowed rows with the smallest hashes of id and text, ``rows`` at most. Rows that repeat id
+    and text count once.
+
+    Languages are counted first; then only rows whose hash lies in the share that holds some four times as many as wanted go on, so
+    that no task gets a language's rows. A language for which that share holds too few different rows is looked at whole.
+    """
     known = docs.where(allowed & F.col("lang").isNotNull() & has_letter(F.col("text"))).select(
         "lang", "text", F.xxhash64("doc_id", "text").alias("_hash"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "text"))
-    # Only hashes are ranked; the texts of the chosen ones are fetched by a second look at the table.
-    chosen = known.select("lang", "_hash").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_hash")))
-    last = chosen.where(F.col("_n") <= rows).groupBy("lang").agg(F.max("_hash").alias("_last"))
-    limits = {row["lang"]: row["_last"] for row in last.collect()}
-    if not limits:
+
+    def smallest(limits: dict[str, int]) -> DataFrame:
+        last = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
+        few = known.where(F.col("_hash") <= last).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+        return few.withColumn("_n", place).where(F.col("_n") <= rows).select("lang", "text")
+
+    counts = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return known.select("lang", "text").limit(0)
-    near = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
-    return known.where(F.col("_hash") <= near).withColumn("_n", place).where(F.col("_n") <= rows).select("lang", "text")
+    share = {lang: min(1.0, 4 * rows / n) for lang, n in counts.items()}
+    limits = {lang: min(_MOST, int(part * 2 ** 64) - 2 ** 63) for lang, part in share.items()}
+    found = cut_lineage(smallest(limits))
+    enough = {row["lang"]: row["n"] for row in found.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    short = [lang for lang in counts if limits[lang] < _MOST and enough.get(lang, 0) < rows]
+    if not short:
+        return found
+    return union_all(found.where(~F.col("lang").isin(short)), smallest({lang: _MOST for lang in short}))
 
 
 def _grams(text: str) -> np.ndarray:
@@ -59,8 +75,9 @@ def _grams(text: str) -> np.ndarray:
     return total
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all training rows; summed inside tasks first."""
+def context_counts(rows: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """(lang, order, context, bytes, counts): the contexts of up to ORDER bytes that all training rows together hold ``min_count`` times or
+    more, with the bytes that followed and how often. The empty context is always there. Counts are summed inside tasks first."""
 
     def count(batches):
         for batch in batches:
@@ -68,11 +85,19 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 by_lang.setdefault(lang, []).append(_grams(text))
             for lang, grams in by_lang.items():
-                values, counts = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(counts)],
-                                      ["lang", "gram", "n"])
+                whole, counts = np.unique(np.concatenate(grams), return_counts=True)
+                for order in range(ORDER + 1):
+                    codes, place = np.unique(whole & np.uint64((1 << (8 * (order + 1))) - 1), return_inverse=True)
+                    yield pa.record_batch([
+                        pa.array([lang] * len(codes), pa.string()), pa.array(np.full(len(codes), order, np.int32)), pa.array((codes >> np.uint64(8)).astype(np.int64)),
+                        pa.array((codes & np.uint64(255)).astype(np.int32)), pa.array(np.bincount(place, counts).astype(np.int64))], ["lang", "order", "context", "byte", "n"])
 
-    return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # One shuffle by context serves both groupings.
+    counted = rows.mapInArrow(count, "lang string, order int, context long, byte int, n long").repartition("lang", "order", "context")
+    followed = counted.groupBy("lang", "order", "context", "byte").agg(F.sum("n").alias("n")).groupBy("lang", "order", "context").agg(
+        F.sum("n").alias("_total"), F.sort_array(F.collect_list(F.struct("byte", "n"))).alias("_next"))  # 256 at most
+    return followed.where((F.col("_total") >= min_count) | (F.col("order") == 0)).select(
+        "lang", "order", "context", F.col("_next.byte").alias("bytes"), F.col("_next.n").alias("counts"))
 
 
 @dataclass
@@ -90,29 +115,18 @@ class Model:
     machines: list[Machine]
 
 
-def build_machine(grams: np.ndarray, counts: np.ndarray, classes: np.ndarray, min_count: int = MIN_COUNT) -> Machine:
-    """The table of one language from its (ORDER + 1)-byte grams."""
+def build_machine(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], classes: np.ndarray) -> Machine:
+    """The table of one language. contexts: by order the names of the known contexts, rising, and for each byte seen behind one its place
+    among them, the byte and the count."""
     width = int(classes.max()) + 1  # class 0 holds all bytes that no language saw
-    rows, next_rows, of_order = [], [], []
-    for order in range(ORDER + 1):
-        codes, inverse = np.unique(grams & np.uint64((1 << (8 * (order + 1))) - 1), return_inverse=True)
-        n = np.bincount(inverse, counts).astype(np.int64)
-        context, byte = codes >> np.uint64(8), (codes & np.uint64(255)).astype(np.int64)
-        names, place = np.unique(context, return_index=True)
-        totals = np.add.reduceat(n, place)
-        kept = totals >= (min_count if order else 0)
-        base = sum(map(len, of_order))
-        of_order.append(names[kept])
-        where = np.searchsorted(names[kept], context)
-        where = np.minimum(where, max(int(kept.sum()) - 1, 0))
-        known = np.isin(context, names[kept])
-        table = np.zeros((int(kept.sum()), width), np.int64)
-        np.add.at(table, (where[known], classes[byte[known]]), n[known])
-        first = base - len(of_order[order - 1]) if order else 0  # of the order below
+    rows, next_rows, base = [], [], 0
+    for order, (names, owner, byte, n) in enumerate(contexts):
+        table = np.zeros((len(names), width), np.int64)
+        table[owner, classes[byte]] = n
         if order:
-            below = of_order[order - 1]
-            shorter = np.searchsorted(below, names[kept] & np.uint64((1 << (8 * (order - 1))) - 1))
-            lower = np.concatenate(rows)[first + shorter]
+            below = contexts[order - 1][0]
+            shorter = np.searchsorted(below, names & np.uint64((1 << (8 * (order - 1))) - 1))
+            lower = rows[order - 1][shorter]
         else:
             lower = np.full((1, width), 1 / 256)
         total, different = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
@@ -120,37 +134,43 @@ def build_machine(grams: np.ndarray, counts: np.ndarray, classes: np.ndarray, mi
         if order:
             # A context and a byte lead to the context of both together where it is known, else to where the context
             # without its first byte leads.
-            prefix = names[kept] >> np.uint64(8)
+            prefix = names >> np.uint64(8)
             at = np.minimum(np.searchsorted(below, prefix), len(below) - 1)
             both = np.flatnonzero(below[at] == prefix)
-            last = classes[(names[kept] & np.uint64(255)).astype(np.int64)]
+            last = classes[(names & np.uint64(255)).astype(np.int64)]
             next_rows[order - 1][at[both], last[both]] = base + both
             next_rows.append(next_rows[order - 1][shorter])
         else:
             next_rows.append(np.zeros((1, width), np.int64))
-    chances, following = np.concatenate(rows), np.concatenate(next_rows)
+        base += len(names)
     # The next state of an order-ORDER context was taken from the order below when that was complete.
-    bits = np.round(-np.log2(chances) * _UNIT).astype(np.int64)
-    table = ((bits << 32) | (following * width)).ravel()
+    parts = [(np.round(-np.log2(chances) * _UNIT).astype(np.int64) << 32) | (following * width) for chances, following in zip(rows, next_rows)]
+    table = np.concatenate(parts).ravel()
     state = 0
     for _ in range(ORDER):
         state = int(table[state + classes[_START]] & 0xFFFFFFFF)
     return Machine(table, state)
 
 
-def train(docs: DataFrame, allowed: Column, rows: int = TRAINING_ROWS) -> Model:
-    """Trees of every language that an allowed row names. The counts come to the driver; ``rows`` bounds the texts they are
-    taken from, and so their number."""
-    found = gram_counts(training_rows(docs, allowed, rows)).toPandas()
-    languages = sorted(found["lang"].unique())
+def train(docs: DataFrame, allowed: Column, rows: int = TRAINING_ROWS, min_count: int = MIN_COUNT) -> Model:
+    """Trees of every language that an allowed row names. Only counts of contexts that are kept come to the driver; ``rows`` bounds the
+    texts they are taken from, and so their number."""
+    found = context_counts(training_rows(docs, allowed, rows), min_count).toArrow().sort_by([("lang", "ascending"), ("order", "ascending"), ("context", "ascending")])
     seen = np.zeros(256, bool)
-    for shift in range(0, 8 * (ORDER + 1), 8):
-        seen[np.unique((found["gram"].to_numpy(np.uint64) >> np.uint64(shift)) & np.uint64(255)).astype(np.int64)] = True
+    seen[pc.unique(pc.list_flatten(found["bytes"])).to_numpy()] = True
+    seen[_START] = True
     classes = np.where(seen, np.cumsum(seen), 0)
+    languages = pc.unique(found["lang"]).to_pylist()
     machines = []
     for lang in languages:
-        own = found[found["lang"] == lang].sort_values("gram")
-        machines.append(build_machine(own["gram"].to_numpy(np.uint64), own["n"].to_numpy(np.int64), classes))
+        own = found.filter(pc.equal(found["lang"], lang))
+        contexts = []
+        for order in range(ORDER + 1):
+            part = own.filter(pc.equal(own["order"], order))
+            sizes = pc.list_value_length(part["bytes"]).to_numpy()
+            contexts.append((part["context"].to_numpy().astype(np.uint64), np.repeat(np.arange(part.num_rows), sizes),
+                             pc.list_flatten(part["bytes"]).to_numpy(), pc.list_flatten(part["counts"]).to_numpy()))
+        machines.append(build_machine(contexts, classes))
     return Model(languages, classes, machines)
 
 
@@ -194,7 +214,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     lang_pred is the language with the shortest code, ties going to the first by name, and score its share when each language
     weighs 2^-bits. A text that is null or has no letter gets ``und``, score 0 and null bits; so do all texts if no language was learned.
     Empty texts have no letter. Repeated rows are scored each; a null id stays null; other columns are not read. Tasks hold
-    a batch of 4 MiB of text, or the longest single text.
+    a batch of 2 MiB of text, or the longest single text.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.when(has_letter(F.col(text_column)), F.col(text_column)).alias("text"))
     # Arrays only: executors need no copy of this package.
