@@ -54,16 +54,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _rows(quality.rate(_carried(docs), model, "_row", "text").where(F.col("p_best") >= quality.KEEP))
 
 
+def _plain(docs: DataFrame) -> list:
+    """The columns of a row in a form that can be hashed: maps have none, so they are written out."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id, null being the largest. Of rows that are
-    equal in all columns one stays."""
+    equal in all columns one stays. Columns of any name and type stay as they are."""
     _small_batches(spark)
-    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
-    found = near_duplicates(keyed.select(F.struct("_null", "_id", "_hash").alias("_key"), "text"), id_column="_key", similarity=SIMILARITY, verified=True)
-    stays = found.where(F.col("_key") == F.col("component_id")).select("_key.*").distinct()
+    key = F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(*_plain(docs)).alias("hash"))
+    keyed = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = near_duplicates(keyed.select("_key", F.col("_row.text").alias("text")), id_column="_key", similarity=SIMILARITY, verified=True)
+    stays = found.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
     # Equal rows have equal keys, which the join has already brought together.
-    copy = F.row_number().over(Window.partitionBy("_null", "_id", "_hash").orderBy("_null"))
-    return keyed.join(stays.hint("merge"), ["_null", "_id", "_hash"]).withColumn("_copy", copy).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return _rows(keyed.join(stays.hint("merge"), "_key").withColumn("_copy", copy).where("_copy = 1"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
