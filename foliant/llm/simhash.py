@@ -34,9 +34,11 @@ PIVOTS = 24
 PART = 1024
 #: Shingles of the texts that are judged in one piece.
 SET_HASHES = 1 << 20
+#: Shingles of partners that are looked up together.
+SLICE_HASHES = 1 << 17
 #: Groups up to this size pass on their links, larger ones a forest.
 SMALL = 16
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -142,17 +144,6 @@ def forest(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(int(values[c]), int(values[parent[c]])) for c in children]
 
 
-def led(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links (places left < right) for each fingerprint one with a leader, that is with one that has no leader itself."""
-    order = np.lexsort((left, right))
-    leads, edges, done = np.ones(len(values), bool), [], -1
-    for i, j in zip(left[order].tolist(), right[order].tolist()):
-        if j != done and leads[i]:
-            leads[j], done = False, j
-            edges.append((int(values[j]), int(values[i])))
-    return edges
-
-
 def group_edges(values: np.ndarray, edges: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges inside groups of fingerprints that lie between consecutive ``edges``: all links of small groups, which are looked
     at together; of larger ones spanning forests."""
@@ -215,6 +206,7 @@ def judged_edges(
     tree, edges = np.arange(len(values)), []
     flat = np.concatenate([np.zeros(0, np.int32), *sets])
     names, codes = np.unique(flat, return_inverse=True)
+    codes = codes.astype(np.int32)
     sizes = np.array([len(x) for x in sets], np.int64)
     ends = np.cumsum(sizes)
     marked = np.zeros(len(names), bool)
@@ -230,10 +222,14 @@ def judged_edges(
             continue
         own = codes[ends[i] - sizes[i]:ends[i]]
         marked[own] = True
-        before = np.cumsum(sizes[j]) - sizes[j]
-        places = np.arange(int(sizes[j].sum())) + np.repeat(ends[j] - sizes[j] - before, sizes[j])
-        held = np.concatenate([[0], np.cumsum(marked[codes[places]])])
-        common = held[before + sizes[j]] - held[before]
+        common = np.zeros(len(j), np.int64)
+        slices = (np.cumsum(sizes[j]) - sizes[j]) // SLICE_HASHES
+        for part_of in np.split(np.arange(len(j)), np.flatnonzero(np.diff(slices)) + 1):
+            some = j[part_of]
+            before = np.cumsum(sizes[some]) - sizes[some]
+            places = np.arange(int(sizes[some].sum())) + np.repeat(ends[some] - sizes[some] - before, sizes[some])
+            held = np.concatenate([[0], np.cumsum(marked[codes[places]])])
+            common[part_of] = held[before + sizes[some]] - held[before]
         marked[own] = False
         union = sizes[i] + sizes[j] - common
         for k in j[np.where(union == 0, 1.0, common / np.maximum(union, 1)) >= similarity].tolist():

@@ -302,12 +302,6 @@ def test_stage_keeps_texts_that_are_near_by_fingerprint_only(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()) == [0, 1, 2]
 
 
-def test_leaders():
-    values = np.arange(5) * 10
-    left, right = np.array([0, 1, 0, 2, 3]), np.array([1, 2, 3, 4, 4])
-    assert simhash.led(values, left, right) == [(10, 0), (30, 0), (40, 20)]
-
-
 @pytest.mark.parametrize("n", [2, 10, 40, 400])
 def test_links_inside_a_key(n):
     r = random.Random(n)
