@@ -59,10 +59,10 @@ def format_of_pages(spark, sf):
 SELECT 'src' || n_nationkey AS source_id, n_name AS name,
   CASE WHEN r_name IN ('AFRICA', 'ASIA') THEN 'AUTHORITATIVE_SNAPSHOT' ELSE 'REQUIRE_VERSION_RESOLUTION' END AS update_policy,
   'default-ingestion' AS pipeline_id
-FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'EUROPE'
+FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 'conversations', 'conversations', 'REQUIRE_VERSION_RESOLUTION', 'talks'""")
 def source_dimension(spark, sf):
-    return X.sources(spark, sf).select("source_id", "name", "update_policy", "pipeline_id")
+    return X.sources(spark, sf, everywhere=True).select("source_id", "name", "update_policy", "pipeline_id")
 
 
 _SOURCES = """
@@ -191,16 +191,18 @@ def paragraphs(spark, sf):
     return units.select("external_document_id", F.col("unit_index").cast("long").alias("unit_index"), "kind", "text")
 
 
-@query("code_blocks", """
-WITH f AS (SELECT conv_id, turn, '```text' || chr(10) || '# not a heading' || chr(10) || text || chr(10) || '```' AS code
+@query("code_blocks", f"""
+WITH RECURSIVE f AS (SELECT conv_id, turn, '```text' || chr(10) || '# not a heading' || chr(10) || text || chr(10) || '```' AS code
   FROM conversations WHERE role = 'assistant'),
-s AS (SELECT conv_id, turn, code, unnest(range(0, (len(code) + 199) // 200)) AS i FROM f)
-SELECT 'conv-' || conv_id || '.md' AS external_document_id, substr(code, i * 200 + 1, 200) AS content, count(*) AS n
-FROM s GROUP BY ALL""")
+s AS (SELECT conv_id, turn, code, unnest(range(0, (len(code) + 199) // 200)) AS i FROM f),
+up AS (SELECT conv_id || '-' || turn AS uid, conv_id, text AS content FROM conversations WHERE role <> 'assistant'),{Q.chunks('up', 200)},
+parts AS (SELECT conv_id, 'assistant' AS kind, substr(code, i * 200 + 1, 200) AS content FROM s
+  UNION ALL SELECT conv_id, 'other', c.content FROM chunk c JOIN up USING (uid))
+SELECT 'conv-' || conv_id || '.md' AS external_document_id, kind, content, count(*) AS n FROM parts GROUP BY ALL""")
 def code_blocks(spark, sf):
     parsed = parse_documents(X.first_versions(X.conversations(spark, sf, fenced=True)), n=200)
-    chunks = D.chunk_rows(C.section_rows(parsed)).where(F.col("section_title") == "assistant")
-    return chunks.groupBy("external_document_id", "content").agg(F.count("*").alias("n"))
+    chunks = D.chunk_rows(C.section_rows(parsed)).withColumn("kind", F.when(F.col("section_title") == "assistant", "assistant").otherwise("other"))
+    return chunks.groupBy("external_document_id", "kind", "content").agg(F.count("*").alias("n"))
 
 
 @query("chunks", f"""

@@ -110,10 +110,11 @@ def version_table(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("version_number") == F.col("_newest")).alias("newest"), "value", F.col("event_type"))
 
 
-def sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Source dimension from nation and region: Europe is not configured, Africa and Asia are authoritative."""
+def sources(spark: SparkSession, sf: str, everywhere: bool = False) -> DataFrame:
+    """Source dimension from nation and region: Africa and Asia are authoritative. Europe is configured only with ``everywhere``, so
+    that documents of unknown sources exist."""
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    rows = nation.join(region, nation.n_regionkey == region.r_regionkey).where(F.col("r_name") != "EUROPE").select(
+    rows = nation.join(region, nation.n_regionkey == region.r_regionkey).where(F.lit(everywhere) | (F.col("r_name") != "EUROPE")).select(
         F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source_id"), F.lit("LOCAL_FILE").alias("source_type"),
         F.col("n_name").alias("name"), F.concat(F.lit("Documents about "), F.col("r_name")).alias("description"),
         F.when(F.col("r_name").isin("AFRICA", "ASIA"), "AUTHORITATIVE_SNAPSHOT").alias("update_policy"),

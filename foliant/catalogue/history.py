@@ -120,14 +120,14 @@ def next_versions(spark, sf):
 
 @query("activate_versions", f"""
 WITH {_HISTORY.lstrip()},
-rising AS (SELECT document_id FROM version WHERE status = 'BUILDING' AND value > 5)
+rising AS (SELECT document_id FROM version WHERE status = 'BUILDING')
 SELECT document_id, vid AS document_version_id, 'ACTIVE' AS status, TIMESTAMP '{NOW}' AS activated_at, NULL AS violation
-  FROM version WHERE status = 'BUILDING' AND value > 5
+  FROM version WHERE status = 'BUILDING'
 UNION ALL SELECT document_id, vid, 'INACTIVE', activated_at, NULL FROM version WHERE status = 'ACTIVE' AND document_id IN (SELECT document_id FROM rising)
-UNION ALL SELECT document_id, vid, NULL, NULL, 'cannot activate ' || status FROM version WHERE status IN ('FAILED', 'INACTIVE') AND value > 5""")
+UNION ALL SELECT document_id, vid, NULL, NULL, 'cannot activate ' || status FROM version WHERE status IN ('FAILED', 'INACTIVE')""")
 def activate_versions(spark, sf):
     versions = X.version_table(spark, sf)
-    changed, errors = V.activate(versions, versions.where(F.col("value") > 5), now())
+    changed, errors = V.activate(versions, versions, now())
     none = F.lit(None)
     return union_all(
         changed.withColumn("violation", none.cast("string")),
@@ -146,11 +146,11 @@ def activated_table(spark, sf):
 
 @query("fail_versions", f"""
 WITH {_HISTORY.lstrip()}
-SELECT document_id, vid AS document_version_id, 'FAILED' AS status, NULL AS violation FROM version WHERE status = 'BUILDING' AND newest
-UNION ALL SELECT document_id, vid, NULL, 'cannot fail ' || status FROM version WHERE status IN ('ACTIVE', 'INACTIVE') AND newest""")
+SELECT document_id, vid AS document_version_id, 'FAILED' AS status, NULL AS violation FROM version WHERE status = 'BUILDING'
+UNION ALL SELECT document_id, vid, NULL, 'cannot fail ' || status FROM version WHERE status IN ('ACTIVE', 'INACTIVE')""")
 def fail_versions(spark, sf):
     versions = X.version_table(spark, sf)
-    changed, errors = V.fail_versions(versions, versions.where("newest"))
+    changed, errors = V.fail_versions(versions, versions)
     return union_all(changed.withColumn("violation", F.lit(None).cast("string")), errors.withColumn("status", F.lit(None).cast("string")))
 
 
