@@ -46,7 +46,7 @@ def chunk_fingerprint_of(section_keys: Column, n: int, version: str = CHUNKER_VE
     return ids.sha256_text(F.concat(F.lit(f"{version}\nmaxCharacters={n}"), lines))
 
 
-def chunk_fingerprint(sections: DataFrame, n: int = MAX_CHUNK_CHARACTERS) -> DataFrame:
+def chunk_fingerprint(sections: DataFrame, n: int = MAX_CHUNK_CHARACTERS, version: str = CHUNKER_VERSION) -> DataFrame:
     """Per version, SHA-256 of chunker version, size limit and every section's key and content hash in order.
 
     A version has at most ``Limits.max_sections`` sections, so the collected list is bounded.
@@ -54,7 +54,7 @@ def chunk_fingerprint(sections: DataFrame, n: int = MAX_CHUNK_CHARACTERS) -> Dat
     ordered = F.sort_array(F.collect_list(F.struct(
         "section_order", F.concat_ws(":", "stable_key", "content_hash").alias("key"))))
     return sections.groupBy("document_version_id").agg(ordered.alias("_s")).select(
-        "document_version_id", chunk_fingerprint_of(F.col("_s.key"), n).alias("chunk_fingerprint"))
+        "document_version_id", chunk_fingerprint_of(F.col("_s.key"), n, version).alias("chunk_fingerprint"))
 
 
 def chunk_rows(sections: DataFrame, chunker: Chunker | None = None) -> DataFrame:

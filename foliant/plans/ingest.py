@@ -7,6 +7,7 @@ come first, the commit last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ids
 from foliant.operators import contract, embeddings as E, postings as P, sections as S, versions as V
-from foliant.operators.chunks import Chunker, check_chunks, chunk_fingerprint_of, chunk_rows, paragraph_chunker, with_chunks
+from foliant.operators.chunks import Chunker, check_chunks, chunk_fingerprint, chunk_fingerprint_of, chunk_rows, paragraph_chunker, with_chunks
 from foliant.params import CHUNKER_VERSION, COMPOSER_VERSION, MAX_CHUNK_CHARACTERS, Limits
 from foliant.plans.retrieve import KnowledgeBase
+from foliant.plans.stages import StageLog, has_begun
 from foliant.plans.store import TABLES, Store
 from foliant.session import cut_lineage, union_all
 from foliant.sources.tables import key_violation
@@ -81,35 +83,59 @@ def decide(docs: DataFrame, sources: DataFrame, versions: DataFrame, limits: Lim
 
 
 def _build(
-    store: Store, parsed: DataFrame, generation: int, embedder: E.Embedder, now: Column, processing: Processing,
-) -> tuple[DataFrame, DataFrame]:
-    """Stages of the versions in ``parsed``; returns (complete, incomplete) version ids from written tables."""
-    version_ids = parsed.select("document_version_id")
+    log: StageLog, parsed: DataFrame, embedder: E.Embedder, now: Column, processing: Processing, kept: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stages of the versions in ``parsed`` and of those whose stored sections are ``kept`` (with chunks, as `section_rows` gives
+    them); returns (complete, incomplete, embed fingerprints) by version id, from written tables."""
+    store, generation = log.store, log.generation
+    parsed_ids = parsed.select("document_version_id")
     rows = S.section_rows(parsed.select(
         "document_version_id", "document_id", "source_id", "external_document_id", "chunk_fingerprint", "parse_fingerprint", "sections"))
-    sections = store.write_version_partitions("section", _as(rows, "section"), generation, version_ids)
-    composed = E.embedding_text(chunk_rows(rows.drop("processing_fingerprint")), composer=processing.composer)
-    texts = E.input_fingerprint(composed, embedder, processing.composer_version).withColumnRenamed("chunk_fingerprint", "processing_fingerprint")
-    texts = store.append("text", texts, generation)
-    chunks = store.write_version_partitions("chunk", _as(texts, "chunk"), generation, version_ids)
-
-    # A chunk whose stripped text is empty cannot be embedded; its version stays incomplete.
-    usable = texts.where(F.col("embedding_text").isNotNull())
-    # Only versions of this batch and ACTIVE versions of its documents can give vectors, so the store is cut down to them first;
-    # the ids of a batch are small beside it.
-    active = V.active_versions(store.versions()).select("document_version_id", "document_id").join(
-        parsed.select("document_id").distinct(), "document_id", "left_semi")
-    stored = store.read("embedding").join(
-        union_all(version_ids, active.select("document_version_id")).distinct(), "document_version_id", "left_semi")
-    donors = stored.where(
-        (F.col("provider") == embedder.provider) & (F.col("model") == embedder.model)
-    ).select("chunk_id", "document_version_id", "processing_fingerprint").join(active, "document_version_id")
-    plan = store.append("plan", E.embedding_plan(usable, stored.select("chunk_id", "processing_fingerprint"), donors), generation)
-    asked = plan.where("action = 'COMPUTE'").select("chunk_id").join(usable.select("chunk_id", "input_fingerprint", "embedding_text"), "chunk_id")
-    vectors = store.append("vector", E.embed_batch(asked, embedder), generation)
-    fresh = E.embedding_rows(plan, vectors, stored, embedder, now)
-    kept = stored.join(plan.where("action = 'KEPT'").select("chunk_id"), "chunk_id", "left_semi")
-    embedded = store.write_version_partitions("embedding", union_all(_as(fresh, "embedding"), _as(kept, "embedding")), generation, version_ids)
+    expected = parsed.select("document_version_id", "document_id", "parse_fingerprint", "chunk_fingerprint")
+    log.run("parse", expected.select("document_version_id", F.col("parse_fingerprint").alias("fingerprint")),
+            lambda: store.write_version_partitions("section", _as(rows, "section"), generation, parsed_ids))
+    sections = store.batch_rows("section", generation)
+    if kept is not None:
+        sections, rows = union_all(sections, _as(kept, "section")), union_all(rows, kept.select(rows.columns))
+        expected = union_all(expected, kept.select(
+            "document_version_id", "document_id", F.col("processing_fingerprint").alias("parse_fingerprint"), "chunk_fingerprint").distinct())
+    version_ids = expected.select("document_version_id")
+
+    cut = chunk_rows(rows.drop("processing_fingerprint")).withColumnRenamed("chunk_fingerprint", "processing_fingerprint")
+    composed = _composed(cut, embedder, processing)
+
+    def chunk() -> None:
+        texts = store.append("text", composed, generation)
+        store.write_version_partitions("chunk", _as(texts, "chunk"), generation, version_ids)
+
+    ran = log.run("chunk", expected.select("document_version_id", F.col("chunk_fingerprint").alias("fingerprint")), chunk)
+    chunks, texts = store.batch_rows("chunk", generation), store.batch_rows("text", generation, composed.schema)
+    if not ran:  # texts of an earlier attempt may have been composed for another model
+        texts = _composed(texts.drop("embedding_text", "input_fingerprint"), embedder, processing)
+    prints = cut_lineage(version_ids.join(E.embed_fingerprint(texts), "document_version_id", "left").select(
+        "document_version_id", F.col("embed_fingerprint").alias("fingerprint")))
+
+    def embed() -> None:
+        # A chunk whose stripped text is empty cannot be embedded; its version stays incomplete.
+        usable = texts.where(F.col("embedding_text").isNotNull())
+        # Only versions of this batch and ACTIVE versions of its documents can give vectors, so the store is cut down to them first;
+        # the ids of a batch are small beside it.
+        active = V.active_versions(store.versions()).select("document_version_id", "document_id").join(
+            expected.select("document_id").distinct(), "document_id", "left_semi")
+        stored = store.read("embedding").join(
+            union_all(version_ids, active.select("document_version_id")).distinct(), "document_version_id", "left_semi")
+        donors = stored.where(
+            (F.col("provider") == embedder.provider) & (F.col("model") == embedder.model)
+        ).select("chunk_id", "document_version_id", "processing_fingerprint").join(active, "document_version_id")
+        plan = store.append("plan", E.embedding_plan(usable, stored.select("chunk_id", "processing_fingerprint"), donors), generation)
+        asked = plan.where("action = 'COMPUTE'").select("chunk_id").join(usable.select("chunk_id", "input_fingerprint", "embedding_text"), "chunk_id")
+        vectors = store.append("vector", E.embed_batch(asked, embedder), generation)
+        fresh = E.embedding_rows(plan, vectors, stored, embedder, now)
+        same = stored.join(plan.where("action = 'KEPT'").select("chunk_id"), "chunk_id", "left_semi")
+        store.write_version_partitions("embedding", union_all(_as(fresh, "embedding"), _as(same, "embedding")), generation, version_ids)
+
+    log.run("embed", prints, embed)
+    embedded = store.batch_rows("embedding", generation)
 
     state = P.index_completeness(chunks, embedded)
     # A version whose stored rows break a rule stays incomplete.
@@ -118,10 +144,14 @@ def _build(
         E.check_vectors(embedded).join(chunks.select("chunk_id", "document_version_id"), "chunk_id").select("document_version_id")).distinct()
     complete = cut_lineage(state.where("complete").select("document_version_id").join(broken, "document_version_id", "left_anti"))
     indexable = chunks.join(complete, "document_version_id", "left_semi")
-    postings = P.build_postings(indexable, embedded)
-    store.write_version_partitions("posting", _as(postings, "posting"), generation, version_ids)
-    incomplete = version_ids.join(complete, "document_version_id", "left_anti")
-    return complete, incomplete
+    log.run("index", prints, lambda: store.write_version_partitions(
+        "posting", _as(P.build_postings(indexable, embedded), "posting"), generation, version_ids))
+    return complete, version_ids.join(complete, "document_version_id", "left_anti"), prints
+
+
+def _composed(chunks: DataFrame, embedder: E.Embedder, processing: Processing) -> DataFrame:
+    """Chunks with the text to embed and its fingerprint."""
+    return E.input_fingerprint(E.embedding_text(chunks, composer=processing.composer), embedder, processing.composer_version)
 
 
 def _as(df: DataFrame, table: str) -> DataFrame:
@@ -147,8 +177,15 @@ def _events(changes: DataFrame, generation: int, step: int, now: Column) -> Data
         "document_version_id", "document_id", "status", F.lit(generation * 4 + step).cast("long").alias("seq"), now.alias("at"))
 
 
-def _finish(store: Store, building: DataFrame, complete: DataFrame, incomplete: DataFrame, generation: int, now: Column) -> None:
-    """Status events and the build log of a batch. ``building``: the versions under construction."""
+def _finish(
+    log: StageLog, building: DataFrame, complete: DataFrame, incomplete: DataFrame, prints: DataFrame, now: Column,
+    before_commit: Callable[[DataFrame], None] = lambda events: None,
+) -> DataFrame:
+    """Status events of a batch and its commit; returns the events. ``building``: the versions under construction. The stage is
+    COMPLETED after the commit, so a batch that died before it is still found as interrupted."""
+    store, generation = log.store, log.generation
+    if not incomplete.isEmpty():
+        log.failed("index", prints.join(incomplete, "document_version_id", "left_semi"), "incomplete embeddings")
     known = store.versions().select("document_id", "document_version_id", "version_number", "status", "activated_at")
     started = building.select(
         "document_id", "document_version_id", "version_number", F.lit("BUILDING").alias("status"),
@@ -158,44 +195,36 @@ def _finish(store: Store, building: DataFrame, complete: DataFrame, incomplete:
     failed, _ = V.fail_versions(everything, incomplete)
     events = union_all(
         _events(started, generation, 0, now), _events(raised, generation, 1, now), _events(failed, generation, 1, now))
-    written = store.append("status_event", events, generation)
-    outcome = F.when(F.col("status") == "ACTIVE", "COMPLETED").otherwise("FAILED")
-    done = written.where(F.col("status").isin("ACTIVE", "FAILED"))
-    log = done.select(
-        F.lit(str(generation)).alias("batch_id"), "document_version_id",
-        F.when(F.col("status") == "ACTIVE", "activate").otherwise("index").alias("stage"), outcome.alias("status"),
-        F.lit(None).cast("string").alias("fingerprint"), F.col("at").alias("started_at"), F.col("at").alias("completed_at"),
-        F.when(F.col("status") == "FAILED", "incomplete embeddings").alias("error"))
-    store.append("build_log", log, generation)
 
+    def activate() -> None:
+        before_commit(store.append("status_event", events, generation))
+        store.commit(generation)
 
-def ingest_batch(
-    store: Store, docs: DataFrame, sources: DataFrame, embedder: E.Embedder, limits: Limits = Limits(),
-    n: int = MAX_CHUNK_CHARACTERS, force: bool = False, now: Column | None = None, processing: Processing = Processing(),
-) -> DataFrame:
-    """Ingest documents (source_id, external_document_id, format, content, content_hash); returns the report.
+    log.run("activate", prints.join(complete, "document_version_id", "left_semi"), activate)
+    return store.batch_rows("status_event", generation)
 
-    Report: one row per incoming document with ``outcome`` BUILT, UNCHANGED, REQUIRES_VERSION_RESOLUTION,
-    BUILD_IN_PROGRESS, REJECTED or FAILED. Unchanged documents are not parsed. A failed version leaves the former ACTIVE one in
-    place. Rows with equal keys and bytes are one document; successive revisions go into successive batches.
+
+def _judge(decided: DataFrame, limits: Limits, n: int, processing: Processing) -> DataFrame:
+    """Parse the documents that are to be built and hold them against the contract.
+
+    The contract holds for every new or changed document, whatever the policy makes of it.
     """
-    now = F.current_timestamp() if now is None else now
-    generation = store.next_generation()
-    decided = decide(docs, sources, store.versions(), limits, force)
-    # The contract holds for every new or changed document, whatever the policy makes of it.
     judged = F.col("outcome").isin("BUILD", "REQUIRES_VERSION_RESOLUTION", "BUILD_IN_PROGRESS")
     parsed = parse_documents(
         decided.withColumn("_bytes", F.col("content")).withColumn("content", F.when(judged, F.col("content")).otherwise(F.lit(b""))),
         limits, n, processing)
     broken = F.when(judged, contract.structure_violation(F.col("section_count"), F.col("chunk_count"), limits))
-    parsed = (
+    return (
         parsed.withColumn("violation", F.coalesce("violation", broken))
         .withColumn("outcome", F.when(F.col("violation").isNotNull(), "REJECTED").otherwise(F.col("outcome")))
         .withColumn("sections", F.when(F.col("outcome") == "BUILD", F.col("sections")))
         .withColumn("content", F.when(F.col("outcome") == "BUILD", F.col("_bytes")))
         .drop("_bytes", "metadata"))
-    parsed = store.append("parsed", parsed, generation)
 
+
+def _carry_out(log: StageLog, parsed: DataFrame, embedder: E.Embedder, now: Column, processing: Processing) -> DataFrame:
+    """Everything after the documents of a batch are judged; returns the report."""
+    store, generation = log.store, log.generation
     wanted = parsed.where(F.col("outcome") == "BUILD")
     registry = store.read("document")
     known = parsed.where(F.col("violation").isNull())
@@ -204,40 +233,100 @@ def ingest_batch(
     store.append("document", _as(fresh, "document"), generation)
     store.append("document_version", _as(wanted.withColumn("created_at", now), "document_version"), generation)
 
-    complete, incomplete = _build(store, wanted.drop("content"), generation, embedder, now, processing)
-    _finish(store, wanted, complete, incomplete, generation, now)
-    final = store.spark.read.parquet(f"{store.root}/status_event/generation={generation}").where(
-        F.col("status").isin("ACTIVE", "FAILED")).select("document_version_id", F.col("status").alias("_final"))
-    joined = parsed.select("source_id", "external_document_id", "outcome", "violation", "document_version_id").join(
-        final, "document_version_id", "left")
-    made = F.col("outcome") == "BUILD"
-    report = store.append("report", joined.select(
-        "source_id", "external_document_id",
-        F.when(made & (F.col("_final") == "ACTIVE"), "BUILT").when(made, "FAILED").otherwise(F.col("outcome")).alias("outcome"),
-        "violation", F.when(made, F.col("document_version_id")).alias("document_version_id")), generation)
-    store.commit(generation)
-    return report
+    complete, incomplete, prints = _build(log, wanted.drop("content"), embedder, now, processing)
+    reports = []
+
+    def report(events: DataFrame) -> None:
+        final = events.where(F.col("status").isin("ACTIVE", "FAILED")).select("document_version_id", F.col("status").alias("_final"))
+        joined = parsed.select("source_id", "external_document_id", "outcome", "violation", "document_version_id").join(
+            final, "document_version_id", "left")
+        made = F.col("outcome") == "BUILD"
+        reports.append(store.append("report", joined.select(
+            "source_id", "external_document_id",
+            F.when(made & (F.col("_final") == "ACTIVE"), "BUILT").when(made, "FAILED").otherwise(F.col("outcome")).alias("outcome"),
+            "violation", F.when(made, F.col("document_version_id")).alias("document_version_id")), generation))
+
+    _finish(log, wanted, complete, incomplete, prints, now, report)
+    return reports[0]
+
+
+def ingest_batch(
+    store: Store, docs: DataFrame, sources: DataFrame, embedder: E.Embedder, limits: Limits = Limits(),
+    n: int = MAX_CHUNK_CHARACTERS, force: bool = False, now: Column | None = None, processing: Processing = Processing(),
+) -> DataFrame:
+    """Ingest documents (source_id, external_document_id, format, content, content_hash); returns the report.
+
+    Report: one row per incoming document with ``outcome`` BUILT, UNCHANGED, REQUIRES_VERSION_RESOLUTION,
+    BUILD_IN_PROGRESS, REJECTED or FAILED. Unchanged documents are not parsed. A failed version leaves the former ACTIVE one in
+    place. Rows with equal keys and bytes are one document; successive revisions go into successive batches. A batch that is cut
+    can be carried on by `resume_batch`.
+    """
+    now = F.current_timestamp() if now is None else now
+    generation = store.next_generation()
+    decided = decide(docs, sources, store.versions(), limits, force)
+    parsed = store.append("parsed", _judge(decided, limits, n, processing), generation)
+    return _carry_out(StageLog(store, generation), parsed, embedder, now, processing)
+
+
+def resume_batch(
+    store: Store, generation: int, embedder: E.Embedder, limits: Limits = Limits(), n: int = MAX_CHUNK_CHARACTERS,
+    now: Column | None = None, processing: Processing = Processing(),
+) -> DataFrame:
+    """Carry on a batch that was cut before its commit; returns its report.
+
+    Stages that were completed under the same fingerprints are kept as written. Another chunker, size or model gives other fingerprints,
+    so the stages from there on run again. Documents of which another batch has meanwhile made a version are left as they are and
+    reported SUPERSEDED. Only one process may resume a batch.
+    """
+    now = F.current_timestamp() if now is None else now
+    store.refresh()
+    if generation in store.commits():
+        raise ValueError(f"generation {generation} is already committed")
+    if not has_begun(store, generation):
+        raise ValueError(f"generation {generation} was cut before its documents were judged: ingest it again")
+    parsed = store.batch_rows("parsed", generation)
+    wanted = F.col("outcome") == "BUILD"
+    keys = F.transform("sections", lambda s: F.concat_ws(":", s["stable_key"], ids.sha256_text(s["content"])))
+    if not parsed.where(wanted & (F.col("chunk_fingerprint") != chunk_fingerprint_of(keys, n, processing.chunker_version))).isEmpty():
+        made = ("sections", "section_count", "chunk_count", "parse_fingerprint", "chunk_fingerprint")
+        parsed = store.append("reparsed", union_all(
+            _judge(parsed.where(wanted).drop(*made), limits, n, processing).select(parsed.columns), parsed.where(~wanted)), generation)
+    newest = store.versions().groupBy("document_id").agg(F.max("version_number").alias("_newest"))
+    overtaken = wanted & F.coalesce(F.col("_newest") >= F.col("version_number"), F.lit(False))
+    current = parsed.join(newest, "document_id", "left").withColumn(
+        "outcome", F.when(overtaken, "SUPERSEDED").otherwise(F.col("outcome"))).drop("_newest")
+    return _carry_out(StageLog(store, generation, resumed=True), current, embedder, now, processing)
 
 
 def resume_versions(
     store: Store, version_ids: DataFrame, embedder: E.Embedder, limits: Limits = Limits(), n: int = MAX_CHUNK_CHARACTERS,
     now: Column | None = None, processing: Processing = Processing(),
 ) -> DataFrame:
-    """Build FAILED versions again (G8 decides which may be); stored vectors with the expected fingerprint are kept.
+    """Build FAILED versions again (G8 decides which may be); returns the status events written.
 
-    Returns the status events written.
+    Versions whose stored sections all carry the expected fingerprint are not parsed again (G10); stored vectors with the expected
+    fingerprint are kept.
     """
     now = F.current_timestamp() if now is None else now
     generation = store.next_generation()
+    log = StageLog(store, generation)
     chosen = V.resumable(store.versions()).join(version_ids.select("document_version_id"), "document_version_id", "left_semi")
+    names = store.read("document").select("document_id", "source_id", "external_document_id")
+    rows = cut_lineage(S.parse_fingerprint(chosen.select(
+        "document_version_id", "document_id", "version_number", "format", "content_hash").join(names, "document_id")))
+    stored = store.read("section").join(rows.select("document_version_id"), "document_version_id", "left_semi")
+    reusable = cut_lineage(V.stage_reuse(stored, rows.select(
+        "document_version_id", F.col("parse_fingerprint").alias("fingerprint"))).where("reusable").select("document_version_id"))
+
+    sections = stored.join(reusable, "document_version_id", "left_semi")
+    kept = sections.join(chunk_fingerprint(sections, n, processing.chunker_version), "document_version_id").join(
+        rows.select("document_version_id", "document_id", "source_id", "external_document_id"), "document_version_id").withColumn(
+        "chunks", (processing.chunker or paragraph_chunker(n))(F.col("content")))
     content = store.read("document_version").select("document_version_id", "content")
-    keys = store.read("document").select("document_id", "source_id", "external_document_id")
-    rows = chosen.join(content, "document_version_id").join(keys, "document_id")
-    parsed = store.append("parsed", parse_documents(rows, limits, n, processing), generation)
-    complete, incomplete = _build(store, parsed, generation, embedder, now, processing)
-    _finish(store, parsed, complete, incomplete, generation, now)
-    store.commit(generation)
-    return store.spark.read.parquet(f"{store.root}/status_event/generation={generation}")
+    unparsed = rows.join(reusable, "document_version_id", "left_anti").drop("parse_fingerprint").join(content, "document_version_id")
+    parsed = store.append("parsed", parse_documents(unparsed, limits, n, processing), generation)
+    complete, incomplete, prints = _build(log, parsed, embedder, now, processing, kept)
+    return _finish(log, rows, complete, incomplete, prints, now)
 
 
 def knowledge_base(store: Store) -> KnowledgeBase:

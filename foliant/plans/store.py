@@ -31,7 +31,7 @@ TABLES = {
     "manifest": "document_version_id string, table_name string",
 }
 # Batch-local tables with a schema of their own: written once to cut lineage, never read by later batches.
-STAGING = ("parsed", "text", "plan", "vector", "report")
+STAGING = ("parsed", "reparsed", "text", "plan", "vector", "report")
 
 
 class Store:
@@ -61,7 +61,7 @@ class Store:
         """Look at the commits of other writers again."""
         self._commits = None
 
-    def _written(self, table: str) -> list[int]:
+    def written(self, table: str) -> list[int]:
         """Generations that have a folder in a table, committed or not."""
         if not self._exists(table):
             return []
@@ -74,7 +74,7 @@ class Store:
         """A number above every one ever used, so that leftovers of a failed batch can never become visible. It is claimed by
         creating a file, which only one writer can do, so batches that run at once get different numbers."""
         self.refresh()
-        number = max([0, *self.commits(), *[g for t in [*TABLES, *STAGING, "claim"] for g in self._written(t)]]) + 1
+        number = max([0, *self.commits(), *[g for t in [*TABLES, *STAGING, "claim"] for g in self.written(t)]]) + 1
         while not self._claim(number):
             number += 1
         return number
@@ -91,15 +91,22 @@ class Store:
         return True
 
     def append(self, table: str, df: DataFrame, generation: int) -> DataFrame:
-        """Write one batch's rows of a table and return them as read back, which cuts the lineage."""
+        """Write one batch's rows of a table and return them as read back, which cuts the lineage. What an earlier attempt of the same
+        batch left there is written over."""
         if table not in TABLES and table not in STAGING:
             raise ValueError(f"unknown table {table}")
         if generation in self.commits():
             raise ValueError(f"generation {generation} is already committed")
         path = f"{self._path(table)}/generation={generation}"
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def batch_rows(self, table: str, generation: int, schema=None) -> DataFrame:
+        """What one batch wrote to a table, committed or not."""
+        known = schema or TABLES.get(table)
+        reader = self.spark.read.schema(known) if known else self.spark.read
+        return reader.parquet(f"{self._path(table)}/generation={generation}")
+
     def commit(self, generation: int) -> None:
         """Make the generation visible. A single file, moved into place at once."""
         self.spark.range(1).select(F.lit(generation).cast("long").alias("generation"), F.current_timestamp().alias("at")).coalesce(
@@ -135,7 +142,7 @@ class Store:
         """
         written = self.append(table, df, generation)
         ids = (versions if versions is not None else written).select("document_version_id").distinct()
-        ids.write.mode("errorifexists").parquet(f"{self._path('manifest')}/generation={generation}/table_name={table}")
+        ids.write.mode("overwrite").parquet(f"{self._path('manifest')}/generation={generation}/table_name={table}")
         return written
 
     def versions(self) -> DataFrame:

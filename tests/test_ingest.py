@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foliant.operators.embeddings import HashEmbedder
 from foliant.operators.fusion import OverlapScorer
 from foliant.params import Limits
-from foliant.plans import ingest as I, preview as P, retrieve as R
+from foliant.plans import ingest as I, preview as P, retrieve as R, stages as G
 from foliant.plans.store import Store
 from foliant.sources.registry import source_dim
 from foliant.sources.tables import documents_from_table
@@ -168,3 +168,99 @@ def test_own_chunker_and_composer(spark, sources, tmp_path):
     assert {r.embedding_text for r in spark.read.parquet(f"{store.root}/text/generation=1").collect()} == {"ONE TWO", "THREE"}
     plain = I.parse_documents(batch).first().chunk_fingerprint
     assert I.parse_documents(batch, processing=lines).first().chunk_fingerprint != plain
+
+
+def flaky(dimensions, up):
+    """A model that is down until the file exists."""
+    import os
+
+    class Flaky(HashEmbedder):
+        def embed(self, texts):
+            if not os.path.exists(up):
+                raise RuntimeError("model down")
+            return super().embed(texts)
+
+    return Flaky(dimensions)
+
+
+def log_of(store, generation):
+    rows = G.build_log(store).where(F.col("batch_id") == str(generation)).orderBy("started_at").collect()
+    return [(r.stage, r.status) for r in rows]
+
+
+def files_of(store, table, generation):
+    from pathlib import Path
+
+    return sorted(str(p) for p in Path(f"{store.root}/{table}/generation={generation}").glob("part-*"))
+
+
+def test_cut_batch_resumes_at_the_failed_stage(spark, sources, tmp_path):
+    store, model = Store(spark, str(tmp_path / "kb")), flaky(64, str(tmp_path / "up"))
+    with pytest.raises(Exception, match="model down"):
+        I.ingest_batch(store, docs(spark, ("s1", "a.md", "# T\n\none apple\n\ntwo bananas")), sources, model)
+    assert log_of(store, 1) == [("parse", "COMPLETED"), ("chunk", "COMPLETED"), ("embed", "FAILED")]
+    assert store.versions().count() == 0
+    found = G.interrupted_builds(store).collect()
+    assert [(r.stage, r.status, r.version_status) for r in found] == [("embed", "FAILED", "BUILDING")]
+    before = files_of(store, "section", 1), files_of(store, "chunk", 1)
+
+    (tmp_path / "up").touch()
+    assert outcomes(I.resume_batch(store, 1, model)) == {"a.md": "BUILT"}
+    # The completed stages did not run again, the failed one ran twice, the later ones once.
+    assert (files_of(store, "section", 1), files_of(store, "chunk", 1)) == before
+    assert log_of(store, 1) == [("parse", "COMPLETED"), ("chunk", "COMPLETED"), ("embed", "FAILED"), ("embed", "COMPLETED"), ("index", "COMPLETED"),
+                                ("activate", "COMPLETED")]
+    assert G.interrupted_builds(store).count() == 0
+    assert sorted(r.content for r in I.knowledge_base(store).active().chunks.collect()) == ["one apple", "two bananas"]
+    prints = {r.stage: r.fingerprint for r in G.build_log(store).where("status = 'COMPLETED'").collect()}
+    section = store.read("section").first()
+    assert prints["parse"] == section.processing_fingerprint and prints["chunk"] == store.read("chunk").first().processing_fingerprint
+    with pytest.raises(ValueError, match="already committed"):
+        I.resume_batch(store, 1, model)
+
+
+def test_a_batch_whose_driver_died_is_found(spark, sources, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "kb"))
+
+    class Gone(BaseException):
+        pass
+
+    def die(*_):
+        raise Gone
+
+    with monkeypatch.context() as patch:
+        patch.setattr(I.P, "build_postings", die)
+        with pytest.raises(Gone):
+            I.ingest_batch(store, docs(spark, ("s1", "a.txt", "first"), ("s1", "b.txt", "other")), sources, MODEL)
+    assert {(r.stage, r.status) for r in G.interrupted_builds(store).collect()} == {("index", "RUNNING")}
+    # Meanwhile another batch has built one of the documents; the stages run again for the one that is left.
+    I.ingest_batch(store, docs(spark, ("s1", "a.txt", "second")), sources, MODEL)
+    assert outcomes(I.resume_batch(store, 1, MODEL)) == {"a.txt": "SUPERSEDED", "b.txt": "BUILT"}
+    assert sorted(r.content for r in I.knowledge_base(store).active().chunks.collect()) == ["other", "second"]
+    assert store.read("document").count() == 2 and store.read("section").count() == 2
+    with pytest.raises(ValueError, match="ingest it again"):
+        I.resume_batch(store, 77, MODEL)
+
+
+def test_resuming_under_other_settings_runs_the_stages_they_change(spark, sources, tmp_path):
+    store, down = Store(spark, str(tmp_path / "kb")), flaky(64, str(tmp_path / "never"))
+    with pytest.raises(Exception, match="model down"):
+        I.ingest_batch(store, docs(spark, ("s1", "a.txt", "one two\nthree")), sources, down)
+    before = files_of(store, "section", 1)
+    lines = I.Processing(lambda content: F.split(content, "\n"), "lines-1")
+    assert outcomes(I.resume_batch(store, 1, HashEmbedder(32), processing=lines)) == {"a.txt": "BUILT"}
+    assert files_of(store, "section", 1) == before
+    assert sorted(r.content for r in store.read("chunk").collect()) == ["one two", "three"]
+    assert {r.dimensions for r in store.read("embedding").collect()} == {32}
+
+
+def test_resumed_version_keeps_its_sections(spark, sources, tmp_path):
+    store = Store(spark, str(tmp_path / "kb"))
+    code = "```\nabcdefgh\n"
+    assert outcomes(I.ingest_batch(store, docs(spark, ("s1", "a.txt", code)), sources, MODEL, n=12)) == {"a.txt": "FAILED"}
+    assert log_of(store, 1)[-1] == ("index", "FAILED")
+    I.resume_versions(store, store.versions(), MODEL)
+    assert spark.read.parquet(f"{store.root}/parsed/generation=2").count() == 0
+    assert spark.read.parquet(f"{store.root}/section/generation=2").count() == 0
+    assert [r.content for r in I.knowledge_base(store).active().chunks.collect()] == [code]
+    assert store.read("section").count() == 1
