@@ -43,6 +43,19 @@ def table_documents(spark, sf):
     return union_all(good.select(*keep, F.lit(None).cast("string").alias("violation")), bad.select(*keep, "violation"))
 
 
+@query("document_keys", """
+SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 'blank source id' WHEN n_chars % 5 IN (0, 1) THEN 'blank document id' END AS violation FROM documents""")
+def document_keys(spark, sf):
+    # Documents by length: some without a source, some without an id of their own.
+    part = F.col("n_chars") % 5
+    rows = X.table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("n_chars") % 7 == 0, " \t").otherwise(F.col("source")).alias("source_id"),
+        F.when(part == 1, "").when(part > 1, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("external_document_id"),
+        F.col("text").cast("binary").alias("content"))
+    good, bad = documents_from_table(rows)
+    return union_all(good.select("doc_id", F.lit(None).cast("string").alias("violation")), bad.select("doc_id", "violation"))
+
+
 @query("detect_format", r"""
 WITH p AS (SELECT page_id, url || CASE WHEN contains(url, '#') THEN '.PDF' WHEN contains(url, '?') THEN '/a.Markdown' WHEN url LIKE '%/' THEN '.x.py' ELSE '' END AS name FROM pages),
 e AS (SELECT *, lower(regexp_extract(name, '\.([^./]*)$', 1)) AS ext FROM p)

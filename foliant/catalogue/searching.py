@@ -46,6 +46,24 @@ def semantic_scoped(spark, sf):
         "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("semantic_model", """
+WITH s AS (SELECT q.vec_id::VARCHAR AS query_id, d.vec_id::VARCHAR AS chunk_id,
+  list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings d ON coalesce(d.label, 9) NOT IN (0, 1, 2, 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score >= 0.2)
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def semantic_model(spark, sf):
+    # By label, vectors of another provider, model, revision or length take no part in a search with the model.
+    rows = X.table(spark, sf, "embeddings")
+    label, other = F.col("label"), F.lit("other")
+    corpus = rows.select(
+        F.col("vec_id").cast("string").alias("chunk_id"), label.cast("string").alias("source_id"), "embedding",
+        F.when(label == 0, other).otherwise(MODEL.provider).alias("provider"), F.when(label == 1, other).otherwise(MODEL.model).alias("model"),
+        F.when(label == 2, other).otherwise(MODEL.revision).alias("model_revision"), F.when(label == 3, 32).otherwise(MODEL.dimensions).alias("dimensions"))
+    queries = rows.select(F.col("vec_id").alias("query_id"), "embedding")
+    return semantic.semantic_search(queries, corpus.where(semantic.model_filter(MODEL)), 5, 0.2).select(
+        "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("lexical_terms", f"""
 WITH q AS (SELECT item_id::VARCHAR AS query_id, {Q.tokens('text')} AS ts FROM benchmark)
 SELECT query_id, 0::INT AS grp, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS atom, false AS negated, 1::BIGINT AS n_terms, 0::BIGINT AS offset, term
@@ -366,3 +384,15 @@ SELECT count(*) AS cases, count(rank) AS matched, round(avg((rank IS NOT NULL)::
 def recall_mrr(spark, sf):
     return K.recall_mrr(evaluated(spark, sf), 5).select(
         "cases", "matched", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr_at_k", 6).alias("mrr_at_k"))
+
+
+@query("invalid_cases", r"""
+SELECT conv_id || '-' || turn AS case_id, 'blank field' AS violation FROM conversations
+WHERE text IS NULL OR regexp_full_match(text, '\s*') OR turn % 4 = 1 OR turn % 4 = 2""")
+def invalid_cases(spark, sf):
+    # Turns as cases: some expect no source, some a document without a name.
+    turn = F.col("turn") % 4
+    return K.check_cases(X.table(spark, sf, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"), F.col("text").alias("query"),
+        F.when(turn != 1, F.col("role")).alias("expected_source_id"),
+        F.when(turn == 2, "  ").otherwise(F.col("conv_id").cast("string")).alias("expected_document_id")))
