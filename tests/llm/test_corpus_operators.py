@@ -150,7 +150,7 @@ def test_quality_without_labels(spark):
 
 
 def test_ordinal_slopes():
-    """The gradient of the likelihood against differences."""
+    """Fitted grades follow the features; slopes are held against differences in test_quality_brute_force."""
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 3, 400)
     flat = np.concatenate([np.sort(np.unique(np.append(rng.integers(0, 40, 6), 100 + g))) for g in grades])
