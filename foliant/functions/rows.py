@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +15,3 @@ def unnest(df: DataFrame, keep: list, array: Column, item: str, position: str |
     place = position or "_position"
     rows = df.select(*keep, F.posexplode_outer(array).alias(place, item)).where(F.col(place).isNotNull())
     return rows if position else rows.drop(place)
-
-
-def stored_rows(files: list[str], rows: int) -> Iterator[pa.RecordBatch]:
-    """Inside a task: the rows of a written table, by the addresses of its Parquet files, in batches."""
-    from pyarrow import fs, parquet
-
-    for file in files:
-        system, path = fs.FileSystem.from_uri(file)
-        with system.open_input_file(path) as source:
-            yield from parquet.ParquetFile(source).iter_batches(rows)

@@ -30,14 +30,39 @@ def test_semantic_search_matches_numpy(spark, monkeypatch):
         order = sorted((-round(scores[q, i], 9), f"c{i:03d}") for i in range(60)
                        if scores[q, i] >= 0.1 and (not scope or "abc"[i % 3] in scope))
         want[f"q{q}"] = [c for _, c in order[:7]]
-    for rows, held in ((semantic.QUERY_ROWS, semantic.CORPUS_BYTES), (2, 100)):  # one pass, then many small ones
+    # One broadcast block, blocks bounded by rows, by bytes, and one query a block.
+    for rows, held, step in ((4096, 1 << 25, 1024), (2, 1 << 25, 3), (4096, 3 * 64, 1), (1, 1 << 25, 7)):
         monkeypatch.setattr(semantic, "QUERY_ROWS", rows)
-        monkeypatch.setattr(semantic, "CORPUS_BYTES", held)
+        monkeypatch.setattr(semantic, "QUERY_BYTES", held)
+        monkeypatch.setattr(semantic, "SCORE_ROWS", step)
         hits = semantic.semantic_search(queries, vectors(spark, corpus, "abc").repartition(5), 7, 0.1).orderBy("query_id", "rank").collect()
         got = {q: [r.chunk_id for r in hits if r.query_id == q] for q in want}
         assert got == want
 
 
+def test_small_query_sets_leave_the_vectors_in_place(spark, monkeypatch):
+    queries = spark.createDataFrame([(f"q{i}", [1.0, float(i)]) for i in range(9)], "query_id string, embedding array<float>")
+    corpus = vectors(spark, np.ones((40, 2)), "a")
+
+    def below_scoring():
+        plan = semantic.semantic_search(queries, corpus, 3)._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.index("MapInArrow"):]
+
+    assert "Exchange" not in below_scoring()
+    monkeypatch.setattr(semantic, "QUERY_ROWS", 2)
+    assert below_scoring().count("Exchange") == 1
+
+
+def test_semantic_search_without_queries_or_vectors(spark, monkeypatch):
+    schema = "query_id string, embedding array<float>"
+    none, some = spark.createDataFrame([], schema), spark.createDataFrame([(f"q{i}", [1.0, 2.0]) for i in range(5)], schema)
+    corpus = vectors(spark, np.ones((4, 2)), "a")
+    for rows in (4096, 2):
+        monkeypatch.setattr(semantic, "QUERY_ROWS", rows)
+        assert semantic.semantic_search(none, corpus, 3).count() == 0
+        assert semantic.semantic_search(some, corpus.limit(0), 3).count() == 0
+
+
 def test_semantic_search_refuses_mixed_dimensions(spark):
     queries = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "query_id string, embedding array<float>")
     with pytest.raises(ValueError):
