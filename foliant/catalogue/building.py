@@ -12,9 +12,10 @@ from foliant.catalogue.documents import _SOURCES
 from foliant.catalogue.history import _CHANGES, _DECISION, NOW, changes, now
 from foliant.functions import ids
 from foliant.functions.rows import unnest
+from foliant.functions.text import words
 from foliant.operators import chunks as D, embeddings as E, postings as P, preview as H, sections as C, versions as V
 from foliant.params import CHUNKER_VERSION, COMPOSER_VERSION, PARSER_VERSION
-from foliant.plans.ingest import ingest_batch, knowledge_base, parse_documents
+from foliant.plans.ingest import in_memory_base, ingest_batch, knowledge_base, parse_documents
 from foliant.plans.store import Store
 from foliant.session import checkpoint_folder, cut_lineage, union_all
 
@@ -348,15 +349,60 @@ def similarity_status(spark, sf):
     return H.similarity_status(rows).select("event_id", "similarity_status")
 
 
-@query("similar_materials")
+# Samples of V1 (query_id, for_document, sample_index, ts) and their hits among its chunks by both methods.
+def _similar(samples: str) -> str:
+    # Components are floats, as in stored vectors: distinct texts of equal cosine then come in the same order.
+    dense = """SELECT k, list((coalesce(c, 0) / norm)::FLOAT::DOUBLE ORDER BY i) AS v FROM (SELECT k, i, c, sqrt(sum(c * c) OVER (PARTITION BY k)) AS norm FROM (SELECT DISTINCT k FROM {0}_d) CROSS JOIN
+  (SELECT unnest(range(64)) AS i) LEFT JOIN {0}_d USING (k, i)) GROUP BY k"""
+    counts = """{0}_d AS (SELECT k, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS i, count(*) AS c FROM {0}_t GROUP BY ALL)"""
+    return f"""
+spread AS (SELECT document_id, sample_index, sample_index * (n - 1) // greatest(least(n, {samples}) - 1, 1) AS idx
+  FROM (SELECT document_id, n, unnest(range(least(n, {samples}))) AS sample_index FROM (SELECT document_id, count(*) AS n FROM c1 GROUP BY ALL))),
+samples AS (SELECT document_id || chr(10) || sample_index AS query_id, document_id AS for_document, sample_index,
+  {Q.tokens('substr(content, 1, 1000)')} AS ts FROM spread JOIN c1 USING (document_id, idx)),
+sample_t AS (SELECT query_id AS k, unnest(ts) AS term FROM samples), body_t AS (SELECT chunk_id AS k, unnest({Q.tokens('content')}) AS term FROM c1),
+{counts.format('sample')}, {counts.format('body')}, sample_v AS ({dense.format('sample')}), body_v AS ({dense.format('body')}),
+sem AS (SELECT q.k AS query_id, c.k AS chunk_id, list_cosine_similarity(q.v, c.v) AS score FROM sample_v q CROSS JOIN body_v c),
+term_set AS (SELECT query_id, list_distinct(ts) AS terms FROM samples), chunk_set AS (SELECT k AS chunk_id, list(DISTINCT term) AS terms FROM body_t GROUP BY k),
+df AS (SELECT term, count(DISTINCT k) AS n FROM body_t GROUP BY term),
+rare AS (SELECT k AS query_id, arg_min(term, coalesce(n, 0)) AS term FROM sample_t LEFT JOIN df USING (term) GROUP BY k),
+holds AS (SELECT r.query_id, c.chunk_id FROM rare r JOIN (SELECT DISTINCT k AS chunk_id, term FROM body_t) c USING (term)
+  JOIN term_set t USING (query_id) JOIN chunk_set s USING (chunk_id) WHERE list_has_all(s.terms, t.terms)),
+places AS (SELECT chunk_id, unnest({Q.tokens('content')}) AS term, generate_subscripts({Q.tokens('content')}, 1) AS pos FROM c1),
+e AS (SELECT query_id, chunk_id, term, pos, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS nth,
+  lead(pos) OVER (PARTITION BY query_id, chunk_id, term ORDER BY pos) AS again
+  FROM holds JOIN (SELECT DISTINCT k AS query_id, term FROM sample_t) USING (query_id) JOIN places USING (chunk_id, term)),
+whole AS (SELECT query_id, chunk_id, max(first) AS from_pos FROM (SELECT query_id, chunk_id, term, min(pos) AS first FROM e GROUP BY ALL) GROUP BY ALL),
+-- The cover that ends at a position begins at the first place whose term does not come again by then.
+swept AS (SELECT query_id, chunk_id, hi, min(p) OVER (PARTITION BY query_id, chunk_id ORDER BY leaves DESC ROWS UNBOUNDED PRECEDING) AS lo
+  FROM (SELECT query_id, chunk_id, pos AS p, NULL AS hi, coalesce(again, 1000000000) - 0.5 AS leaves FROM e
+    UNION ALL SELECT query_id, chunk_id, NULL, pos, pos FROM e)),
+cover AS (SELECT s.query_id, s.chunk_id, lo, min(hi) AS hi FROM swept s JOIN whole w ON w.query_id = s.query_id AND w.chunk_id = s.chunk_id
+  WHERE hi >= from_pos GROUP BY ALL),
+density AS (SELECT c.query_id, c.chunk_id, sum(0.4::DOUBLE / (1 + (hi - lo) - (b.nth - a.nth))) AS d FROM cover c
+  JOIN e a ON a.query_id = c.query_id AND a.chunk_id = c.chunk_id AND a.pos = lo
+  JOIN e b ON b.query_id = c.query_id AND b.chunk_id = c.chunk_id AND b.pos = hi GROUP BY ALL),
+ranked AS (SELECT query_id, chunk_id, 'SEMANTIC' AS method, score FROM sem WHERE score >= 0.35
+  UNION ALL SELECT query_id, chunk_id, 'LEXICAL', d / (d + 1) FROM density),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY round(score, 13) DESC, chunk_id) AS rank FROM ranked QUALIFY rank <= 10),
+other AS (SELECT b.method, b.rank, b.score, s.for_document, s.sample_index, c1.* FROM best b JOIN samples s USING (query_id) JOIN c1 USING (chunk_id)
+  WHERE c1.document_id <> s.for_document
+  QUALIFY row_number() OVER (PARTITION BY s.for_document, method, chunk_id ORDER BY s.sample_index, b.rank) = 1)"""
+
+
+@query("similar_materials", f"""
+WITH RECURSIVE {Q.V1_CHUNKS.lstrip()},{_similar('3')}
+SELECT for_document AS for_document_id, method, row_number() OVER (PARTITION BY for_document, method ORDER BY sample_index, rank) AS match_rank,
+  version_id AS document_version_id, source_id, ext AS external_document_id, NULL::VARCHAR AS section_title, chunk_id,
+  substr(content, 1, 400) AS excerpt, round(score, 5) AS score FROM other QUALIFY match_rank <= 10""")
 def similar_materials(spark, sf):
-    from foliant.plans.ingest import in_memory_base
-
+    # Every document, as its next version, against the first versions of all. The words of a sample are quoted, so that none is an operator.
     docs = X.corpus(spark, sf)
     base = in_memory_base(docs, MODEL)
     parsed = parse_documents(X.first_versions(docs, 2))
-    everywhere = docs.select("source_id").distinct()
-    return H.similar_materials(H.sample_parts(parsed), base, MODEL, everywhere)
+    samples = H.sample_parts(parsed).withColumn("sample", F.concat(F.lit('"'), F.array_join(words(F.col("sample")), '" "'), F.lit('"')))
+    return H.similar_materials(samples, base, MODEL, docs.select("source_id").distinct()).withColumns(
+        {"match_rank": F.col("match_rank").cast("long"), "score": F.round("score", 5)})
 
 
 @query("ingest_two_batches", f"""
