@@ -253,16 +253,17 @@ def _carry_out(log: StageLog, parsed: DataFrame, embedder: E.Embedder, now: Colu
 def ingest_batch(
     store: Store, docs: DataFrame, sources: DataFrame, embedder: E.Embedder, limits: Limits = Limits(),
     n: int = MAX_CHUNK_CHARACTERS, force: bool = False, now: Column | None = None, processing: Processing = Processing(),
+    generation: int | None = None,
 ) -> DataFrame:
     """Ingest documents (source_id, external_document_id, format, content, content_hash); returns the report.
 
     Report: one row per incoming document with ``outcome`` BUILT, UNCHANGED, REQUIRES_VERSION_RESOLUTION,
     BUILD_IN_PROGRESS, REJECTED or FAILED. Unchanged documents are not parsed. A failed version leaves the former ACTIVE one in
     place. Rows with equal keys and bytes are one document; successive revisions go into successive batches. A batch that is cut
-    can be carried on by `resume_batch`.
+    can be carried on by `resume_batch`. ``generation``: a number that the caller has claimed with `Store.next_generation`.
     """
     now = F.current_timestamp() if now is None else now
-    generation = store.next_generation()
+    generation = store.next_generation() if generation is None else generation
     decided = decide(docs, sources, store.versions(), limits, force)
     parsed = store.append("parsed", _judge(decided, limits, n, processing), generation)
     return _carry_out(StageLog(store, generation), parsed, embedder, now, processing)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.params import Limits
-from foliant.session import union_all
+from foliant.sources.folder import FolderSource
 from foliant.sources.tables import with_content_hash
 
 # Format of each recognised file extension.
@@ -53,39 +55,57 @@ def file_metadata(df: DataFrame) -> DataFrame:
     ))
 
 
-def _listing(spark: SparkSession, root: str) -> tuple[str, list[str]]:
-    """The root as listed paths spell it, and the names below it of files that a scan takes for hidden."""
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root with scheme and authority, as tasks have to open it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = system.makeQualified(path).toString().rstrip("/")
-    hidden, found = [], system.listFiles(path, True)
-    while found.hasNext():
-        name = found.next().getPath().toString()[len(base) + 1:]
-        if any(part.startswith((".", "_")) and "=" not in part for part in name.split("/")):
-            hidden.append(name)
-    return base, sorted(hidden)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _named(files: DataFrame, source_id: str, base: str) -> DataFrame:
+    """Add source_id, external_document_id (the path below ``base``) and format to listed files."""
+    # Paths may be spelled with one or three slashes after the scheme.
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    under = re.sub("^file:/+", "/", base).rstrip("/") + "/"
+    # A root that is itself a file is known by its name.
+    relative = F.when(F.startswith(plain, F.lit(under)), F.substr(plain, F.lit(len(under) + 1))).otherwise(F.element_at(F.split("path", "/"), -1))
+    return detect_format(files.withColumns({"source_id": F.lit(source_id), "external_document_id": relative}))
+
+
+def split_files(named: DataFrame, max_bytes: int = Limits().max_bytes) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected) of named files."""
+    usable = (F.col("length") <= max_bytes) & F.col("format").isNotNull()
+    documents = with_content_hash(file_metadata(named.where(usable))).select(
+        "source_id", "external_document_id", "format", "content", "content_hash", "metadata")
+    rejected = named.where(~usable).select("source_id", "external_document_id", F.when(
+        F.col("format").isNull(), "unsupported format").otherwise("size limit").alias("violation"))
+    return documents, rejected
 
 
 def scan_files(
     spark: SparkSession, source_id: str, root: str, max_bytes: int = Limits().max_bytes
 ) -> tuple[DataFrame, DataFrame]:
-    """A1: (documents, rejected) of the files under ``root``.
+    """A1: (documents, rejected) of all files under ``root``, names that begin with "_" or "." included.
 
-    The size filter reaches the scan, so an oversized file is listed but never read. The scan leaves out files whose name, or a
-    folder of theirs, starts with "_" or "."; they are reported as rejected.
+    The driver lists the root only; tasks list and read the folders below it. An oversized or unrecognised file is listed but never read.
     """
-    base, hidden = _listing(spark, root)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    )
-    # Listed paths are spelled like the qualified root; a root that is itself a file is known by its name.
-    relative = F.when(F.startswith("path", F.lit(f"{base}/")), F.substr("path", F.lit(len(base) + 2))).otherwise(F.element_at(F.split("path", "/"), -1))
-    named = detect_format(files.withColumn("source_id", F.lit(source_id)).withColumn("external_document_id", relative))
-    small = F.col("length") <= max_bytes
-    documents = with_content_hash(file_metadata(named.where(small & F.col("format").isNotNull()))).select(
-        "source_id", "external_document_id", "format", "content", "content_hash", "metadata")
-    unseen = spark.createDataFrame([(source_id, name, "hidden file") for name in hidden], "source_id string, external_document_id string, violation string")
-    rejected = named.drop("content").where(~small | F.col("format").isNull()).select(
-        "source_id", "external_document_id",
-        F.when(F.col("format").isNull(), "unsupported format").otherwise("size limit").alias("violation"))
-    return documents, union_all(rejected, unseen)
+    spark.dataSource.register(FolderSource)
+    base = qualified(spark, root)
+
+    def listed(content: str) -> DataFrame:
+        files = spark.read.format("foliant_files").option("parts", str(spark.sparkContext.defaultParallelism)).option(
+            "maxBytes", str(max_bytes)).option("extensions", ",".join(EXTENSION_FORMATS)).option("content", content).load(base)
+        return _named(files, source_id, base)
+
+    return split_files(listed("true"), max_bytes)[0], split_files(listed("false"), max_bytes)[1]
+
+
+def stream_files(spark: SparkSession, source_id: str, root: str, files_per_batch: int = 1000) -> DataFrame:
+    """A1 as a stream: named files of a folder as they arrive, for `foliant.plans.stream`. A file that is replaced arrives again.
+
+    This is Spark's file stream, which keeps the list of seen files and leaves out names that begin with "_" or ".".
+    """
+    base = qualified(spark, root)
+    files = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option(
+        "maxFilesPerTrigger", str(files_per_batch)).load(base)
+    return _named(files, source_id, base)

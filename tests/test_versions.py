@@ -34,13 +34,14 @@ def test_scan_files(spark, tmp_path):
     (tmp_path / "_intro.md").write_bytes(b"x")
     (tmp_path / "sub" / ".hid.md").write_bytes(b"x")
     same, _ = scan_files(spark, "s", f"file://{tmp_path}/", 100)
-    assert {r.external_document_id for r in same.collect()} == {"sub/A.MD", "b.txt"}
+    whole = {"sub/A.MD", "b.txt", "_intro.md", "sub/.hid.md"}
+    assert {r.external_document_id for r in same.collect()} == whole
     docs, rejected = scan_files(spark, "s", str(tmp_path), 100)
     got = {r.external_document_id: r for r in docs.collect()}
-    assert set(got) == {"sub/A.MD", "b.txt"} and got["sub/A.MD"].format == "MARKDOWN"
+    assert set(got) == whole and got["sub/A.MD"].format == "MARKDOWN"
     assert got["b.txt"].metadata["fileName"] == "b.txt" and got["b.txt"].metadata["size"] == "5"
     assert {(r.external_document_id, r.violation) for r in rejected.collect()} == {
-        ("big.txt", "size limit"), ("c.zip", "unsupported format"), ("_intro.md", "hidden file"), ("sub/.hid.md", "hidden file")}
+        ("big.txt", "size limit"), ("c.zip", "unsupported format")}
 
 
 def test_sources(spark):
