@@ -89,8 +89,11 @@ def huge_search(ids: list[int], vectors: list[list[int]], query_ids: list[int],
 
 
 def pivot_rows(rows: DataFrame, count: int = PIVOTS) -> list[tuple[int, list[int]]]:
-    """The vectors with the smallest hashes as pivots; at most ``count``, so they fit the driver."""
-    chosen = rows.select("id", "q", F.xxhash64("id", "q").alias("_h")).distinct().orderBy("_h", "id").limit(count)
+    """The vectors with the smallest hashes as pivots; at most ``count``, so they fit the driver. Only hashes are shuffled: the vectors
+    of the chosen ones are picked up by a second scan."""
+    hashed = rows.select("id", "q", F.xxhash64("id", "q").alias("_h"))
+    least = [row["_h"] for row in hashed.select("_h").distinct().orderBy("_h").limit(count).collect()]
+    chosen = hashed.where(F.col("_h").isin(least)).dropDuplicates(["id", "q"]).orderBy("_h", "id").limit(count)
     return [(row["id"], row["q"]) for row in chosen.collect()]
 
 
@@ -106,7 +109,8 @@ def topk(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id"
         "id is not null and q is not null")
     pivots = pivot_rows(rows)
     total = rows.count()
-    slots = max(1, -(-total // SLOT_ROWS))
+    # Small tables are cut finer, to give every core a slot.
+    slots = max(1, -(-total // SLOT_ROWS), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_ROWS)))
     # The position of a row deals candidates out evenly, whatever their ids.
     dealt = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int").alias("slot"), F.lit(0).alias("kind"), "id", "q")
     asking = rows.where("asks").groupBy("id").agg(F.min("q").alias("q")).select(
@@ -157,6 +161,6 @@ def topk(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id"
         if queries:
             yield answer()
 
-    met = dealt.unionByName(asking).repartition(slots, "slot").sortWithinPartitions("slot", "kind", "id")
+    met = dealt.unionByName(asking).repartitionById(slots, "slot").sortWithinPartitions("slot", "kind", "id")
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     return top_k(found, "query_id", [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
