@@ -16,12 +16,17 @@ from foliant.functions import ids, text as T
 from foliant.functions.rows import unnest
 from foliant.functions.skew import salted_join
 from foliant.params import COMPOSER_VERSION, EMBEDDING_BATCH, EMBEDDING_DIMENSIONS
-from foliant.session import union_all
+from foliant.session import cut_lineage, union_all
 
 # Heading levels are 1..6, so a section has at most six ancestors besides its own heading.
 MAX_DEPTH = 6
 
 
+# Tasks of model calls per core, and texts of a task beyond that.
+TASKS_PER_CORE = 4
+TASK_TEXTS = 8192
+
+
 class Embedder(Protocol):
     """What an embedding model has to offer. The object is shipped to the tasks and may load its model lazily."""
 
@@ -145,14 +150,26 @@ def embedding_plan(chunks: DataFrame, existing: DataFrame, active: DataFrame) ->
         "COMPUTE")).withColumn("reused_from", F.when(F.col("action") == "REUSED", F.col("reused_from"))).drop("_own")
 
 
+def _dealt(distinct: DataFrame, batch: int) -> DataFrame:
+    """The texts of a written table, in as many partitions as their calls can fill. Neighbours in the order of size inside a written
+    partition go to different tasks. Partitions are asked for by number, so adaptive execution does not merge them."""
+    count = distinct.count()
+    tasks = max(1, min(-(-count // batch), max(TASKS_PER_CORE * distinct.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_TEXTS))))
+    # The low 33 bits number the rows of a partition; each partition begins with another task.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.spark_partition_id()
+    ordered = distinct.sortWithinPartitions(F.desc(F.octet_length("embedding_text")), "input_fingerprint")
+    return ordered.withColumn("_task", F.pmod(place, F.lit(tasks)).cast("int")).repartitionById(tasks, "_task").drop("_task")
+
+
 def embed_batch(texts: DataFrame, embedder: Embedder, batch: int = EMBEDDING_BATCH) -> DataFrame:
     """Vectors of the distinct texts in ``texts`` (input_fingerprint, embedding_text).
 
     Equal texts share a fingerprint and are embedded once, so a text copied into a third of all chunks costs one call.
-    Returns (input_fingerprint, embedding, n) where n is the number of rows that share the fingerprint.
+    Returns (input_fingerprint, embedding, n) where n is the number of rows that share the fingerprint. Texts are dealt to tasks by
+    size, so that all make about as many calls and with about as much text; no task has less than a call's worth where another has more.
     """
-    distinct = texts.groupBy("input_fingerprint").agg(
-        F.first("embedding_text").alias("embedding_text"), F.count("*").alias("n"))
+    distinct = _dealt(cut_lineage(texts.groupBy("input_fingerprint").agg(
+        F.first("embedding_text").alias("embedding_text"), F.count("*").alias("n"))), batch)
     schema = "input_fingerprint string, embedding array<float>, n long"
     dimensions = embedder.dimensions
 

@@ -76,6 +76,32 @@ def test_blank_queries_are_reported(spark):
     assert {r.query_id for r in blank.collect()} == {"b", "c"}
 
 
+def test_model_calls_are_dealt_evenly(spark):
+    class Counting(HashEmbedder):
+        """Vectors of (task, texts of the call, characters of the text)."""
+
+        def embed(self, texts):
+            from pyspark import TaskContext
+
+            return np.array([[TaskContext.get().partitionId(), len(texts), len(t)] for t in texts], dtype=np.float32)
+
+    # Copies of one text are a third of all rows; few texts are long.
+    rows = [(f"f{i}", "x" * (2000 if i % 50 == 0 else 1 + i % 7)) for i in range(1000)] + [("f3", "xxxx")] * 500
+    texts = spark.createDataFrame(rows, "input_fingerprint string, embedding_text string").repartition(3)
+    got = embed_batch(texts, Counting(3)).collect()
+    assert len(got) == 1000 and sum(r.n for r in got) == 1500
+    calls, characters = {}, {}
+    for r in got:
+        task, size, length = r.embedding
+        calls[task], characters[task] = calls.get(task, 0) + 1 / size, characters.get(task, 0) + length
+    assert len(calls) == 16 and max(calls.values()) <= 2 * sum(calls.values()) / len(calls)
+    assert max(characters.values()) <= 2 * sum(characters.values()) / len(characters)
+    # Few texts fill few calls, none gives no rows.
+    few = embed_batch(texts.where("input_fingerprint in ('f1', 'f2', 'f3')"), Counting(3)).collect()
+    assert {(r.embedding[0], r.embedding[1]) for r in few} == {(0, 3)}
+    assert embed_batch(texts.limit(0), Counting(3)).count() == 0
+
+
 TEXTS = ["the cat sat on the mat", "a cat and a dog", "dog on mat", "fat cat dog cat", "bird", "the the the dog", "cat-dog mat", "mat cat"]
 
 
