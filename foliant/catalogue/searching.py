@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -294,6 +296,25 @@ def hybrid_context(spark, sf):
                         "content", F.array_join("included_chunk_ids", " ").alias("included"))
 
 
+@query("answer_integrity", f"""
+WITH RECURSIVE {_SEARCH.lstrip()},
+h AS (SELECT t.query_id, t.rank, t.chunk_id, c1.source_id, ext, CASE WHEN lang = 'fr' THEN 'chunk missing' WHEN c1.idx % 3 = 1 THEN 'section missing' END AS violation
+  FROM {top_sql(fused_sql(5), 5)} t JOIN c1 USING (chunk_id) JOIN v1 USING (ext))
+SELECT query_id, rank, chunk_id AS origin_chunk_id, NULL::VARCHAR AS violation FROM h WHERE query_id NOT IN (SELECT query_id FROM h WHERE violation IS NOT NULL)
+UNION ALL SELECT DISTINCT query_id, NULL::BIGINT, NULL::VARCHAR, violation FROM h WHERE violation IS NOT NULL""")
+def answer_integrity(spark, sf):
+    # An index that still finds chunks of French documents, which are gone, and second chunks whose section id leads nowhere.
+    base = in_memory_base(X.corpus(spark, sf), MODEL)
+    french = X.table(spark, sf, "documents").where("lang = 'fr'").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("external_document_id"))
+    lost = F.when(F.col("chunk_index") % 3 == 1, F.concat(F.lit("no-"), F.col("section_id"))).otherwise(F.col("section_id"))
+    broken = replace(base, chunks=base.chunks.join(french, "external_document_id", "left_anti").withColumn("section_id", lost))
+    contexts, violations = R.answer(X.passages(spark, sf), X.sources(spark, sf, everywhere=True), broken, MODEL, "HYBRID", routing=False)
+    nothing = {"rank": F.lit(None).cast("long"), "origin_chunk_id": F.lit(None).cast("string")}
+    return union_all(
+        contexts.select("query_id", F.col("rank").cast("long").alias("rank"), "origin_chunk_id", F.lit(None).cast("string").alias("violation")),
+        violations.withColumns(nothing))
+
+
 # Contexts: every 200-character chunk of a conversation is a hit of the conversation's query.
 _TALK_HITS = f"""{Q.V3_SECTIONS},
 ut AS (SELECT section_id AS uid, content FROM sec WHERE content <> ''),{Q.chunks('ut', 200)},

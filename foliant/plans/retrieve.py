@@ -51,8 +51,9 @@ class KnowledgeBase:
 
 
 def attach(hits: DataFrame, chunks: DataFrame, *extra: str) -> DataFrame:
-    """Put the document fields of the few surviving hits in; the join comes after every limit."""
-    return hits.join(chunks.select("chunk_id", *HIT_COLUMNS), "chunk_id").select(
+    """Put the document fields of the few surviving hits in; the join comes after every limit. A hit whose chunk is gone keeps its place
+    with empty fields: `context_violations` finds it."""
+    return hits.join(chunks.select("chunk_id", *HIT_COLUMNS), "chunk_id", "left").select(
         "query_id", "rank", "chunk_id", *HIT_COLUMNS, "score", *extra)
 
 
@@ -78,7 +79,7 @@ def _retrieve_one(
     if scorer is None:
         raise ValueError("profile ADVANCED needs a scorer")
     wide = fusion.candidate_count(k)
-    candidates = attach(hybrid_ids(queries, kb, embedder, wide, min_score), kb.chunks)
+    candidates = attach(hybrid_ids(queries, kb, embedder, wide, min_score), kb.chunks).fillna("", ["content"])
     return fusion.rerank(queries, candidates, scorer, k).select("query_id", "rank", "chunk_id", *HIT_COLUMNS, "score")
 
 
@@ -122,12 +123,28 @@ def expand(
     return context.dedupe_contexts(expanded)
 
 
+def checked_context(
+    queries: DataFrame, kb: KnowledgeBase, embedder: Embedder, profile: str | None = "SIMPLE", strategy: str = "CHUNK_ONLY",
+    scorer: fusion.Scorer | None = None, k: int = DEFAULT_LIMIT, min_score: float = MIN_SCORE,
+) -> tuple[DataFrame, DataFrame]:
+    """(contexts, violations): retrieve, then expand every hit of every query by joins, then merge equal contexts.
+
+    A query with a hit whose chunk or section is missing or belongs elsewhere has no contexts; its hits of that kind are the violations
+    (query_id, chunk_id, violation).
+    """
+    active = kb.active()
+    hits = cut_lineage(retrieve(queries, active, embedder, profile, scorer, k, min_score))
+    broken = cut_lineage(context.context_violations(hits, active.sections, active.chunks))
+    sound = hits.join(broken.select("query_id").distinct(), "query_id", "left_anti")
+    return expand(sound, active, strategy), broken
+
+
 def retrieve_context(
     queries: DataFrame, kb: KnowledgeBase, embedder: Embedder, profile: str = "SIMPLE", strategy: str = "CHUNK_ONLY",
     scorer: fusion.Scorer | None = None, k: int = DEFAULT_LIMIT, min_score: float = MIN_SCORE,
 ) -> DataFrame:
-    """Retrieve, then expand every hit of every query by joins, then merge equal contexts."""
-    return expand(retrieve(queries, kb, embedder, profile, scorer, k, min_score), kb.active(), strategy)
+    """The contexts of `checked_context`."""
+    return checked_context(queries, kb, embedder, profile, strategy, scorer, k, min_score)[0]
 
 
 def answer(
@@ -137,13 +154,15 @@ def answer(
     """(contexts, violations) of queries as users ask them: query_id, query, optionally search_source_id.
 
     I9 and I8 limit each query to its explicit source, or else to the sources it is routed to, before J6 runs. Every query that is not
-    searched for is among the violations (query_id, violation): blank query, blank source, unknown source.
+    searched for is among the violations (query_id, violation): blank query, blank source, unknown source; so is one that has no contexts
+    because what it found breaks a rule (J5).
     """
     queries = queries.withColumn("query_id", F.col("query_id").cast("string"))
     blank = T.is_blank(F.coalesce("query", F.lit("")))
     scoped, refused = query_scope(queries.where(~blank), sources, routing)
     scoped = cut_lineage(scoped)
-    found = retrieve_context(scoped, kb, embedder, profile, strategy, scorer, k, min_score)
+    found, broken = checked_context(scoped, kb, embedder, profile, strategy, scorer, k, min_score)
     violations = union_all(
-        queries.where(blank).select("query_id", F.lit("blank query").alias("violation")), refused.select("query_id", "violation"))
+        queries.where(blank).select("query_id", F.lit("blank query").alias("violation")), refused.select("query_id", "violation"),
+        broken.select("query_id", "violation").distinct())
     return found, violations
